@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of characters that are none of ASCII's white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,3 +54,13 @@ def remainder(doc_id: Column) -> Column:
 
 def held_out(doc_id: Column) -> Column:
     return remainder(doc_id) == HELD_OUT
+
+
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` without columns of these names in any case."""
+    return docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in names])
+
+
+def extended(docs: DataFrame, **kinds: T.DataType) -> T.StructType:
+    """The schema of ``docs`` and further columns behind it."""
+    return T.StructType([*docs.schema.fields, *(T.StructField(k, v) for k, v in kinds.items())])

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, hostrules, mixing
-from .common import table
+from . import chat, hostrules, langid, mixing, packing, quality
+from .common import held_out, table
+
+
+def op1_langid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
 
 
 def op2_chat_format(spark, sf_dir):
@@ -32,13 +38,27 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_host_rules(spark, sf_dir):
     return hostrules.judge(table(spark, sf_dir, "documents")).drop("source", "host_rate")
 
 
+def op10_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    found = quality.score(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
+    "op1_langid": op1_langid,
     "op2_chat_format": op2_chat_format,
     "op3_mixing": op3_mixing,
+    "op4_packing": op4_packing,
     "op6_host_rules": op6_host_rules,
+    "op10_quality": op10_quality,
 }
 ORACLES = {"op2_chat_format": chat.SQL, "op3_mixing": mixing.SQL, "op6_host_rules": hostrules.SQL}
