@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, hostrules, langid, mixing, packing, quality
+from . import chat, hostrules, langid, mixing, ordermin, packing, quality, secrets, toxicity
 from .common import held_out, table
 
 
@@ -42,10 +42,35 @@ def op4_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op6_host_rules(spark, sf_dir):
     return hostrules.judge(table(spark, sf_dir, "documents")).drop("source", "host_rate")
 
 
+def op7_secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.find_secrets(docs.select("doc_id", "text"), secrets.train(docs)).select("doc_id", "secrets")
+    base = F.filter("secrets", lambda s: s["kind"] != "crf")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    number = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *map(number, ("assign", "access", "hex")),
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("secrets")).alias("spans"),
+    )
+
+
+def op9_order_minhash(spark, sf_dir):
+    return ordermin.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -58,7 +83,10 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_host_rules": op6_host_rules,
+    "op7_secrets": op7_secrets,
+    "op9_order_minhash": op9_order_minhash,
     "op10_quality": op10_quality,
 }
 ORACLES = {"op2_chat_format": chat.SQL, "op3_mixing": mixing.SQL, "op6_host_rules": hostrules.SQL}
