@@ -47,7 +47,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """How many words of each document a mix takes: ``doc_id, size, source_size, target, taken``.
+    """How many words of each document a mix takes: ``doc_id, size, source_size, target, taken, times``.
 
     A source is repeated ``floor(target / size)`` times whole; of the fraction that is left, documents
     are taken in the order of a seeded hash until the next would overshoot by more than half of itself.
@@ -61,8 +61,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: in
     taken in a fixed order of their other columns and count once each; an empty table gives no rows.
     Other columns are ignored.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    thin = checkpointed(docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), key.alias("key")))
+    return _placed(docs, weights, max_epochs, seed).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times"
+    )
+
+
+def _key(seed: int):
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+
+
+def _placed(docs: DataFrame, weights, max_epochs: int, seed: int) -> DataFrame:
+    """Documents in the seeded order, with their source's plan and how many ``times`` each is taken."""
+    thin = checkpointed(docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), _key(seed).alias("key")))
     thin = thin.withColumn("bucket", F.substring("key", 1, 3))
     buckets = checkpointed(thin.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, max_epochs)
@@ -77,10 +87,26 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: in
     placed = thin.select("*", F.coalesce(F.sum("size").over(inside), F.lit(0)).alias("inside"))
     joined = placed.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("bucket") == F.col("p_bucket")))
     left = F.col("target") - F.col("whole") * F.col("source_size")
-    extra = F.col("start") + F.col("inside") + F.col("size") / 2 <= left
-    return joined.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + extra.cast("long"))).alias("taken")
+    extra = (F.col("whole") < max_epochs) & (F.col("start") + F.col("inside") + F.col("size") / 2 <= left)
+    return joined.withColumn("times", F.col("whole") + extra.cast("long"))
+
+
+def sample(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """The mixed documents themselves: each row of ``docs`` as many times as ``mix`` takes it.
+
+    Within a source the documents that are taken once more are the first in its seeded order, so a row a
+    source, with the last of them, decides; texts aren't shuffled. Columns stay as they are.
+    """
+    at = F.struct("key", "doc_id", "size")
+    cuts = _placed(docs, weights, max_epochs, seed).groupBy("source").agg(
+        F.first("whole").alias("_whole"), F.max(F.when(F.col("times") > F.col("whole"), at)).alias("_cut")
     )
+    cuts = checkpointed(cuts.withColumnRenamed("source", "_source"))
+    own = F.struct(_key(seed).alias("key"), F.col("doc_id").alias("doc_id"), count_words(F.col("text")).alias("size"))
+    joined = docs.join(cuts, F.col("source").eqNullSafe(F.col("_source")))
+    times = F.col("_whole") + F.coalesce((own <= F.col("_cut")).cast("long"), F.lit(0))
+    repeated = joined.withColumn("_times", times).where("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return repeated.select(*[f"`{c}`" for c in docs.columns])
 
 
 def _sql(weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> str:
@@ -107,9 +133,10 @@ split AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_si
 placed AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM thin)
-SELECT p.doc_id, p.size, s.source_size, s.target,
-  CAST(p.size * (s.whole + CASE WHEN p.before + p.size / 2.0 <= s.target - s.whole * s.source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM placed p JOIN split s ON p.source IS NOT DISTINCT FROM s.source
+SELECT doc_id, size, source_size, target, CAST(size * times AS BIGINT) AS taken, times FROM (
+  SELECT p.doc_id, p.size, s.source_size, s.target, CAST(s.whole + CASE WHEN s.whole < {max_epochs}
+    AND p.before + p.size / 2.0 <= s.target - s.whole * s.source_size THEN 1 ELSE 0 END AS BIGINT) AS times
+  FROM placed p JOIN split s ON p.source IS NOT DISTINCT FROM s.source)
 """
 
 

@@ -6,12 +6,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import extended, without
+from .hashing import LARGEST, ODD, WordHashes, mixed, word_grams
 
 #: k-mers of so many words; permutations; k-mers that each permutation selects.
 K = 2
@@ -20,30 +20,8 @@ SELECT = 2
 #: Words longer than this, in bytes, count as several.
 LONGEST_WORD = 24
 BLOCK = 8192
-CACHE = 400_000
 SEED = 29
 
-_MASK = (1 << 64) - 1
-_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-_S = np.uint64(31)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _B
-    x = (x ^ (x >> np.uint64(27))) * _C
-    return x ^ (x >> _S)
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, cached."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def tokens(text: str) -> list[bytes]:
     words = text.encode("utf-8", "surrogatepass").split()
     if any(len(w) > LONGEST_WORD for w in words):
@@ -70,13 +48,7 @@ class OrderMinHash:
 
     def kmers(self, text: str) -> np.ndarray:
         words = tokens(text)
-        h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
-        n = len(h) - self.k + 1
-        k = self.k if n > 0 else len(h)
-        out = np.full(max(1, n), k, dtype=np.uint64)
-        for i in range(k):
-            out = mixed(out * _A + h[i : i + len(out)])
-        return out
+        return word_grams(np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words)), self.k)
 
     def signature(self, text: str) -> np.ndarray:
         kmers = self.kmers(text)
@@ -89,7 +61,7 @@ class OrderMinHash:
         if not new.all():
             at = np.arange(n)
             occurrence[order] = at - np.maximum.accumulate(np.where(new, at, 0))
-        numbered = mixed(kmers + occurrence * _A)
+        numbered = mixed(kmers + occurrence * ODD)
         rows = np.arange(len(self.factor))[:, None]
         values = index = None
         for s in range(0, n, BLOCK):
@@ -99,7 +71,7 @@ class OrderMinHash:
                 i = x.argmin(axis=1)[:, None]
                 found.append(x[rows, i])
                 places.append(i + s)
-                x[rows, i] = np.uint64(_MASK)
+                x[rows, i] = LARGEST
             v, p = np.concatenate(found, axis=1), np.concatenate(places, axis=1)
             if values is not None:
                 v, p = np.concatenate([values, v], axis=1), np.concatenate([index, p], axis=1)
@@ -109,7 +81,7 @@ class OrderMinHash:
         ordered = kmers[np.sort(index, axis=1)]
         out = np.full(len(self.factor), self.select, dtype=np.uint64)
         for j in range(ordered.shape[1]):
-            out = mixed(out * _A + ordered[:, j])
+            out = mixed(out * ODD + ordered[:, j])
         return (out >> np.uint64(32)).astype(np.uint32)
 
     def likeness(self, a: np.ndarray, b: np.ndarray) -> float:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, hostrules, langid, mixing, ordermin, packing, quality, secrets, toxicity
+from . import chat, hostrules, jaccard, langid, mixing, ordermin, packing, quality, secrets, toxicity
 from .common import held_out, table
 
 
@@ -67,6 +67,10 @@ def op7_secrets(spark, sf_dir):
     )
 
 
+def op8_jaccard_join(spark, sf_dir):
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_order_minhash(spark, sf_dir):
     return ordermin.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -86,6 +90,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_host_rules": op6_host_rules,
     "op7_secrets": op7_secrets,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_order_minhash": op9_order_minhash,
     "op10_quality": op10_quality,
 }
