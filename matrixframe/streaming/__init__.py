@@ -1,0 +1 @@
+"""The data model has no streams: matrices are bounded, so nothing is built here."""
