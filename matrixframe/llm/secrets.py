@@ -26,13 +26,13 @@ KINDS = ("assign", "access", "hex", "crf")
 #: States of a token: outside, beginning, inside.
 O, B, I = 0, 1, 2  # noqa: E741
 STATES = 3
-SAMPLE = 3_000
+SAMPLE = 16_000
 SAMPLE_CHARS = 20_000
 EPOCHS = 6
 RATE = 0.2
 DECAY = 1e-5
 SEED = 7
-CACHE = 300_000
+CACHE = 800_000
 
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{16}")
@@ -41,7 +41,9 @@ _EDGE = ".,;:!?\"'()[]{}<>"
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` of the fixed patterns, leftmost and non-overlapping in each kind, by start, then kind as listed."""
-    out = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
+    out = []
+    if ":" in text or "=" in text:
+        out += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
     if "AKIA" in text:
         out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
     if _LONG_HEX.search(text):
@@ -189,8 +191,7 @@ class Model:
                 rows.clear()
                 alike.clear()
                 table = table[:0]
-            split = [t.split() if t.isascii() else _TOKEN.findall(t) for t in texts]
-            split = [_TOKEN.findall(t) if _ODD_SPACE.search(t) else s for t, s in zip(texts, split, strict=True)]
+            split = [_TOKEN.findall(t) if _ODD_SPACE.search(t) else t.split() for t in texts]
             learn(sorted(set().union(*split).difference(rows)))
             return [self._spans(t, np.fromiter(map(rows.__getitem__, s), np.int64, len(s)), table) for t, s in zip(texts, split, strict=True)]
 
@@ -220,7 +221,8 @@ class Model:
         return sorted(base, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-_ODD_SPACE = re.compile(r"[\x1c-\x1f\x85]")
+#: White space that parts words for ``str.split`` but isn't ASCII's.
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def tagged_spans(text: str, states: np.ndarray) -> list[tuple[int, int, str]]:
@@ -326,16 +328,20 @@ def fit(texts: list[str], seed: int = SEED, width: int = 12) -> Model:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on a bounded sample: about ``sample`` texts of at most 20,000 characters, by a hash of their ids,
-    half of them among those that name what the base patterns look for."""
+    """Fit on a bounded sample: of about ``sample`` texts of at most 20,000 characters, by a hash of their
+    ids, those with base spans and every tenth of the others."""
     short = docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text")
-    likely = F.col("text").rlike(r"(?i)AKIA[A-Z0-9]{14}|[0-9a-f]{16}|(?:password|passwd|secret|token|api_?key)[\"']? *[:=]")
-    short = short.withColumn("likely", likely)
-    counts = {r[0]: r[1] for r in short.groupBy("likely").count().collect()}
+    share = min(1.0, sample / max(1, docs.count()))
     u = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 20)) / (1 << 20)
-    share = [min(1.0, sample / 2 / max(1, counts.get(k, 0))) for k in (True, False)]
-    got = short.where(u < F.when(F.col("likely"), F.lit(share[0])).otherwise(F.lit(share[1]))).limit(2 * sample).toArrow().to_pylist()
-    return fit([r["text"] for r in sorted(got, key=lambda r: (r["doc_id"] is not None, r["doc_id"], r["text"]))])
+
+    def telling(batches):
+        for b in batches:
+            keep = [bool(i % 10 == 0 or base_spans(t)) for i, t in enumerate(b.column(1).to_pylist())]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    found = short.where(u < share).mapInArrow(telling, short.schema)
+    got = found.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).toArrow().to_pylist()
+    return fit([r["text"] for r in got])
 
 
 def digest(spans: list[tuple[int, int, str]]) -> str:
