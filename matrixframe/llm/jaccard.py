@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 from .components import components
-from .hashing import WordHashes, word_grams
+from .hashing import TextHasher, word_grams
 
 SHINGLE = 5
 #: Two sets link when DEN * |intersection| >= NUM * |union|.
@@ -48,13 +48,11 @@ class Shingles:
     """Sorted shingle sets of texts: of lower-cased words, five in a row, or all words of a shorter text."""
 
     def __init__(self, k: int = SHINGLE):
-        self.k, self.hashes = k, WordHashes()
+        self.k, self.hasher = k, TextHasher()
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.zeros(0, dtype=np.uint64)
-        return np.unique(word_grams(np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words)), self.k))
+        words = self.hasher.words((text or "").encode("utf-8", "surrogatepass").lower())
+        return np.unique(word_grams(words, self.k)) if len(words) else np.zeros(0, dtype=np.uint64)
 
 
 def set_class(s: np.ndarray) -> int:
@@ -75,6 +73,10 @@ def count_vector(s: np.ndarray) -> np.ndarray:
     return np.bincount((s & np.uint64(g - 1)).astype(np.int64), minlength=g)
 
 
+def cell_of(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(46)).astype(np.int64)
+
+
 def packed(v: np.ndarray) -> bytes:
     return v.astype(np.uint8 if v.max(initial=0) < 256 else np.uint32).tobytes()
 
@@ -215,15 +217,14 @@ def _count_pass(docs: DataFrame) -> DataFrame:
     def run(batches):
         shingles, cells = Shingles(), np.zeros(CELLS, dtype=np.uint32)
         for b in batches:
-            out = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                s = shingles(text.as_py())
-                out.append((doc_id, len(s), set_class(s) if len(s) else None, packed(count_vector(s)) if len(s) else None))
-                cells += np.bincount((s >> np.uint64(46)).astype(np.int64), minlength=CELLS).astype(np.uint32) if len(s) > 4096 else 0
-                if len(s) <= 4096:
-                    at, n = np.unique((s >> np.uint64(46)).astype(np.int64), return_counts=True)
-                    cells[at] += n.astype(np.uint32)
-            yield _rows(out, [])
+            for at in range(0, b.num_rows, 500):
+                part, out, sets = b.slice(at, 500), [], []
+                for doc_id, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    s = shingles(text)
+                    sets.append(s)
+                    out.append((doc_id, len(s), set_class(s) if len(s) else None, packed(count_vector(s)) if len(s) else None))
+                cells += np.bincount(cell_of(np.concatenate(sets)), minlength=CELLS).astype(np.uint32)
+                yield _rows(out, [])
         used = [c for c in range(0, CELLS, CELL_CHUNK) if cells[c : c + CELL_CHUNK].any()]
         yield _rows([], [(c, zlib.compress(cells[c : c + CELL_CHUNK].tobytes(), 1)) for c in used])
 
@@ -267,7 +268,7 @@ def _entries(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                 if not len(s) or (c := set_class(s)) in seen:
                     continue
                 seen.add(c)
-                level = shared.value[(s >> np.uint64(46)).astype(np.int64)]
+                level = shared.value[cell_of(s)]
                 p = prefix_length(len(s))
                 if level.any():
                     s = s[np.argsort(level, kind="stable")]  # within a level in the order of the hash
@@ -314,6 +315,24 @@ def _lists(entries: DataFrame) -> DataFrame:
     return entries.repartition("token").mapInArrow(run, "token long, a long, b long, m long")
 
 
+def _may_link(n_a: list, v_a: list, n_b: list, v_b: list) -> np.ndarray:
+    """Whether the bound lets each pair link; pairs of vectors of one form are taken at once."""
+    keep = np.zeros(len(n_a), dtype=bool)
+    total = np.array(n_a) + np.array(n_b)
+    forms: dict[tuple, list[int]] = {}
+    for i, (x, u, y, v) in enumerate(zip(n_a, v_a, n_b, v_b, strict=True)):
+        forms.setdefault((groups_of(x), len(u), groups_of(y), len(v)), []).append(i)
+    for (gu, wide_u, gv, wide_v), at in forms.items():
+        u, v = (
+            np.frombuffer(b"".join([raw[i] for i in at]), np.uint8 if wide == g else np.uint32).reshape(-1, g).astype(np.int32)
+            for raw, g, wide in ((v_a, gu, wide_u), (v_b, gv, wide_v))
+        )
+        g = min(gu, gv)
+        bound = np.minimum(u.reshape(len(at), -1, g).sum(axis=1), v.reshape(len(at), -1, g).sum(axis=1)).sum(axis=1)
+        keep[at] = bound >= least_overlap(total[at])
+    return keep
+
+
 def _bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs whose count vectors allow a link."""
     side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("vec").alias(f"v_{x}"))
@@ -321,11 +340,8 @@ def _bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            keep = [
-                overlap_bound(unpacked(u, x), unpacked(v, y)) >= least_overlap(x + y)
-                for x, u, y, v in zip(*(b.column(c).to_pylist() for c in ("n_a", "v_a", "n_b", "v_b")), strict=True)
-            ]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            if b.num_rows:
+                yield b.select(["a", "b"]).filter(pa.array(_may_link(*(b.column(c).to_pylist() for c in ("n_a", "v_a", "n_b", "v_b")))))
 
     return joined.mapInArrow(run, "a long, b long")
 
