@@ -61,7 +61,8 @@ def truncated_svd(
     else:
         raise ValueError("method is 0, 1 or 2")
     s = np.sqrt(np.maximum(values[:k], 0))
-    keep = s > RCOND**0.5 * s.max(initial=0) if method == 1 else s > RCOND * s.max(initial=0)
+    # eigenvalues of AᵀA are known to a few machine epsilons of the largest, singular values to their root
+    keep = s > max(RCOND, np.sqrt(10 * m * np.finfo(float).eps)) * s.max(initial=0)
     s, v = s[keep], fixed_signs(vectors[:, :k][:, keep])
     if order == "asc":
         s, v = s[::-1].copy(), v[:, ::-1].copy()
@@ -69,14 +70,16 @@ def truncated_svd(
 
 
 def lanczos(times, n: int, k: int, seed: int = 0, tol: float = 1e-12, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` largest eigenpairs of a symmetric operator, fully reorthogonalised; new directions are
-    drawn where a Krylov space is exhausted, so repeated eigenvalues are found as well."""
-    most = min(n, most or max(2 * k + 40, 4 * k))
+    """The ``k`` largest eigenpairs of a symmetric operator, fully reorthogonalised. A Krylov space has one
+    direction of each repeated eigenvalue, so after convergence a new direction is drawn and followed for
+    as many steps, until that no longer changes what is found."""
+    most = min(n, most or 4 * k + 120)
     rng = np.random.default_rng(seed)
     q = np.zeros((n, 0))
     t = np.zeros((most, most))
     x = rng.normal(size=n)
-    values, vectors = np.zeros(0), np.zeros((n, 0))
+    values, vectors, before = np.zeros(0), np.zeros((n, 0)), None
+    until = 0
     for j in range(most):
         for _ in range(2):
             x -= q @ (q.T @ x)
@@ -95,6 +98,8 @@ def lanczos(times, n: int, k: int, seed: int = 0, tol: float = 1e-12, most: int
             rest = x - q @ (q.T @ x)
             error = np.linalg.norm(rest) * np.abs(z[j, order])
             values, vectors = w[order], q @ z[:, order]
-            if j + 1 >= min(n, k + 2) and (error <= tol * max(abs(w).max(), 1e-300)).all():
-                break
+            if j >= until and (error <= tol * max(abs(w).max(), 1e-300)).all():
+                if before is not None and np.allclose(values, before, rtol=1e-9, atol=1e-9 * abs(w).max()):
+                    break
+                before, x, until = values, rng.normal(size=n), 2 * (j + 1)
     return values, vectors
