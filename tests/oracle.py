@@ -24,7 +24,7 @@ def rows(table):
 
 def assert_same(spark, query, sql, sf_dir=DATA):
     got = rows(query(spark, sf_dir).toArrow())
-    want = rows(views(sf_dir).sql(sql).fetch_arrow_table() if hasattr(duckdb.DuckDBPyRelation, "fetch_arrow_table") else views(sf_dir).sql(sql).arrow())
+    want = rows(views(sf_dir).sql(sql).to_arrow_table())
     assert got[0] == want[0]
     assert len(got[1]) == len(want[1])
     for g, w in zip(got[1], want[1], strict=True):
