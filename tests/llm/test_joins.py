@@ -9,6 +9,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from matrixframe.llm import components as components_
 from matrixframe.llm import hashing, jaccard, ordermin
 from matrixframe.llm.components import components
 from tests.llm.conftest import as_set, prose
@@ -142,7 +143,9 @@ def test_long_texts_are_hashed_in_segments(monkeypatch):
     assert (hashing.TextHasher().words(raw) == whole).all()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [64, 3])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(components_, "LEAST_HUB", hub)
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, x) for x in range(101, 160)] + [(200, 201), (201, 200), (300, 300)]
     rng.shuffle(edges)
