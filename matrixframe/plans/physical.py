@@ -5,6 +5,7 @@ strategy       when                                                   what moves
 =============  =====================================================  ==============================
 broadcast      the right operand has at most ``LOCAL_BYTES``          the right operand, to all tasks
 cross          a transposed left operand over the same rows           one row range's join, small sums
+panels         asked for: the right operand is a few times as large   its column panels, then the product
 blocks         both operands are large                                blocks, on the inner index
 coo            asked for: sparse cells, or a result to compare        cells, on the inner index
 =============  =====================================================  ==============================
@@ -30,6 +31,8 @@ def matmul(a: MatrixFrame, b: MatrixFrame, strategy: str | None = None, local_by
     strategy = strategy or ("broadcast" if b.n_bytes() <= local_bytes else "blocks")
     if strategy == "broadcast":
         return times_local(a, b.local(local_bytes))
+    if strategy == "panels":
+        return _panel_product(a, b, local_bytes)
     if strategy == "blocks":
         return _block_product(a, b)
     if strategy == "coo":
@@ -47,6 +50,22 @@ def times_local(a: MatrixFrame, b: np.ndarray) -> MatrixFrame:
     return a.map_blocks(lambda ids, x: x @ shared.value, b.shape[1])
 
 
+def _panel_product(a: MatrixFrame, b: MatrixFrame, local_bytes: int) -> MatrixFrame:
+    """Column panels of B that may be broadcast, one after the other; rows of the product are put together once."""
+    k, m = b.dims()
+    width = max(1, local_bytes // max(1, 8 * k))
+    parts = []
+    for s in range(0, m, width):
+        w = min(width, m - s)
+        panel = MatrixFrame(b.df.select("row_id", F.slice("features", s + 1, w).alias("features")), k, w)
+        parts.append(times_local(a, panel.local(max(local_bytes, 8 * k))).df.withColumn("panel", F.lit(s)))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    rows = every.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("panel", "features"))).alias("parts"))
+    return MatrixFrame(rows.select("row_id", F.flatten(F.col("parts.features")).alias("features")), a.n_rows, m)
+
+
 def coo_product(a: DataFrame, b: DataFrame) -> DataFrame:
     """The product of cells, in Catalyst's operators alone."""
     left = a.select("row_id", F.col("col_id").alias("inner"), F.col("value").alias("x"))

@@ -20,14 +20,15 @@ def pair(spark):
     return a, b, mat(spark, a, 3), mat(spark, b)
 
 
-@pytest.mark.parametrize("strategy", [None, "broadcast", "blocks", "coo"])
+@pytest.mark.parametrize("strategy", [None, "broadcast", "panels", "blocks", "coo"])
 def test_matmul_strategies_agree(pair, strategy):
     a, b, am, bm = pair
     assert np.allclose(la.matmul(am, bm, strategy).to_numpy(), a @ b)
 
 
-def test_small_blocks(pair):
+def test_small_blocks_and_panels(pair):
     a, b, am, bm = pair
+    assert np.allclose(physical._panel_product(am, bm, 2 * 8 * 7).to_numpy(), a @ b)
     assert np.allclose(physical._block_product(am, bm, 3).to_numpy(), a @ b)
 
 
