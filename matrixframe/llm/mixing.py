@@ -10,6 +10,9 @@ from .common import checkpointed, count_words
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 SEED = 17
+#: Sources whose rows (some 200 bytes each) may be broadcast, and salts of a source beyond that.
+BROADCAST_SOURCES = 50_000
+SALTS = 32
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -95,7 +98,8 @@ def sample(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed:
     """The mixed documents themselves: each row of ``docs`` as many times as ``mix`` takes it.
 
     Within a source the documents that are taken once more are the first in its seeded order, so a row a
-    source, with the last of them, decides; texts aren't shuffled. Columns stay as they are.
+    source, with the last of them, decides. Up to ``BROADCAST_SOURCES`` such rows go to all tasks and texts
+    aren't shuffled; more are joined over 32 salts a source. Columns stay as they are.
     """
     at = F.struct("key", "doc_id", "size")
     cuts = _placed(docs, weights, max_epochs, seed).groupBy("source").agg(
@@ -103,7 +107,12 @@ def sample(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed:
     )
     cuts = checkpointed(cuts.withColumnRenamed("source", "_source"))
     own = F.struct(_key(seed).alias("key"), F.col("doc_id").alias("doc_id"), count_words(F.col("text")).alias("size"))
-    joined = docs.join(cuts, F.col("source").eqNullSafe(F.col("_source")))
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    if cuts.count() <= BROADCAST_SOURCES:
+        joined = docs.join(F.broadcast(cuts), same)
+    else:
+        salted = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = docs.join(salted, same & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)) == F.col("_salt")))
     times = F.col("_whole") + F.coalesce((own <= F.col("_cut")).cast("long"), F.lit(0))
     repeated = joined.withColumn("_times", times).where("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return repeated.select(*[f"`{c}`" for c in docs.columns])

@@ -108,6 +108,10 @@ def test_mix_keeps_rows_and_comes_near_targets(spark):
     for r in mixing.mix(df).join(own, "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
         assert abs(r["taken"] - r["target"]) <= 17 / 2
     drawn = mixing.sample(df)
+    many = pytest.MonkeyPatch()
+    many.setattr(mixing, "BROADCAST_SOURCES", 1)
+    assert as_set(mixing.sample(df)) == as_set(drawn)
+    many.undo()
     assert drawn.columns == df.columns
     counts = {r["doc_id"]: r["count"] for r in drawn.groupBy("doc_id").count().collect()}
     assert {r[0]: r[5] for r in a if r[5]} == counts
