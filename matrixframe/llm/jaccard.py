@@ -122,10 +122,13 @@ class CountTree:
         return np.lexsort((*(points[:, c] for c in widest), slab))
 
     def search(self, vector: np.ndarray, size: int) -> np.ndarray:
-        q = folded(vector, self.groups)
+        groups = min(self.groups, len(vector))
+        q = folded(vector, groups)
         at = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             top, low, high = (x[at] for x in self.levels[depth])
+            if groups < self.groups:  # a query of fewer groups meets sums of the coordinates, which still bound
+                top = top.reshape(len(top), self.groups // groups, groups).sum(axis=1)
             bound = np.minimum(np.minimum(top, q).sum(axis=1), np.minimum(high, size))
             fits = (bound >= least_overlap(size + low)) & (DEN * high >= NUM * size) & (DEN * size >= NUM * low)
             at = at[fits]

@@ -119,6 +119,27 @@ def test_tree_finds_links_among_sizes_of_different_groups():
     assert {0, 1, 2} <= got and len(got) < 10
 
 
+@pytest.mark.parametrize("short, long", [(256, 300), (500, 530), (255, 1100)])
+def test_a_short_set_meets_a_block_of_longer_ones(short, long):
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(0, 1 << 63, long, dtype=np.uint64))
+    sets = [base[:short]] + [np.unique(np.concatenate([base, rng.integers(0, 1 << 63, 4, dtype=np.uint64)])) for _ in range(40)]
+    sizes, sides = np.array([len(s) for s in sets]), np.array([0] + [1] * 40)
+    vectors = [jaccard.count_vector(s) for s in sets]
+    assert len(vectors[0]) < min(map(len, vectors[1:]))
+    joined = jaccard.forest_of(sides, sizes, vectors, sets, True).joined
+    assert sorted(joined) == [(0, k) for k in range(1, 41) if 100 * short >= 75 * sizes[k]]
+
+
+def test_blocks_of_different_widths_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 2)
+    monkeypatch.setattr(jaccard, "SHORT", 2)
+    rng = random.Random(8)
+    w = prose(rng, 320, [f"w{i}" for i in range(500)]).split()
+    rows = [(k, " ".join(w[: 320 - 8 * k] + [f"tail{k}"])) for k in range(12)]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 7, 8, 100])
 def test_prefixes_of_linked_sets_meet(n):
     p = jaccard.prefix_length(n)
