@@ -147,10 +147,11 @@ def feature_map(a: MatrixFrame, kernel: Kernel, d_out: int, kp: float = 1.0, kp2
     return matern_features(a, d_out, kp, kp2, seed)
 
 
-def estimate_sigma(a: MatrixFrame, rows: int = 500) -> float:
-    """√ of the mean squared distance over all ordered pairs of the first rows, each with itself as well.
+def estimate_sigma(a: MatrixFrame, rows: int | None = None) -> float:
+    """√ of the mean squared distance over all ordered pairs of rows, each with itself as well; of the first
+    ``rows`` only, if given.
 
     By moments: the mean over pairs of ‖x−y‖² is twice the sum of the columns' population variances."""
-    first = a.df.where(F.col("row_id") < rows)
-    spread = MatrixFrame(first).to_coo().groupBy("col_id").agg(F.var_pop("value").alias("v")).agg(F.sum("v")).first()[0]
+    some = a if rows is None else MatrixFrame(a.df.where(F.col("row_id") < rows))
+    spread = some.to_coo().groupBy("col_id").agg(F.var_pop("value").alias("v")).agg(F.sum("v")).first()[0]
     return math.sqrt(2 * (spread or 0.0))

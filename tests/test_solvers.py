@@ -211,6 +211,16 @@ def test_sigma_is_the_root_of_the_mean_squared_distance(spark):
     assert np.isclose(kernels.estimate_sigma(mat(spark, x, 3), 10), np.sqrt(d2[:10, :10].mean()))
 
 
+def test_sigma_covers_rows_after_the_500th(spark, tmp_path):
+    from matrixframe import queries
+
+    x = np.concatenate([RNG.normal(size=(500, 64)), RNG.normal(size=(200, 64)) + 5])
+    want = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2).mean())
+    assert np.isclose(kernels.estimate_sigma(mat(spark, x, 3)), want)
+    spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert np.isclose(queries.sigma_estimate(spark, str(tmp_path)).first()["sigma"], want, atol=1e-6)
+
+
 def test_row_numbers(spark):
     from pyspark.sql import functions as F
 
