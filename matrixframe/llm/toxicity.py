@@ -155,17 +155,19 @@ def viterbi(choices: list[list[tuple[str, float]]], lm: np.ndarray) -> str:
 
 
 def restore(chunk: str, lm: np.ndarray) -> list[str]:
-    """Words that a piece of text without blanks stands for: as written, and decoded where it looks disguised."""
+    """Words that a piece of text without blanks stands for: as written, and decoded where it looks disguised,
+    with and without the marks behind it. Without letters it is decoded if a word of three could come of it."""
     core = chunk.lower().strip(_EDGE)
     if core.isalpha() and not _TRIPLE.search(core):
         return [core]
     plain = _LETTERS.findall(core)
-    if not plain:
+    if not plain and (len(core) < 3 or LEET.keys().isdisjoint(core)):
         return []
-    marked = core.rstrip("#%$&*|!") or core
-    if marked.isalpha() and not _TRIPLE.search(marked):
-        return [marked]
-    return list(dict.fromkeys([*plain, *viterbi(lattice(marked), lm).split()]))
+    words = dict.fromkeys(plain)
+    for reading in dict.fromkeys([core.rstrip("#%$&*|!") or core, core]):
+        if not reading.isalpha() or _TRIPLE.search(reading):
+            words |= dict.fromkeys(viterbi(lattice(reading), lm).split())
+    return list(words)
 
 
 def spaced_words(run: str, lm: np.ndarray) -> list[str]:

@@ -191,6 +191,16 @@ def test_disguises_are_decoded(lm, token):
     assert set(toxicity.restore(token, lm)) & {"loser", "stupid", "idiot", "moron"}
 
 
+@pytest.mark.parametrize("token", ["@$$", "455", "a$$", "@$|", "a$$!"])
+def test_marks_behind_and_no_letters_are_decoded(token):
+    t = np.zeros((toxicity.SYMBOLS,) * 3)
+    c = toxicity.symbols(" ".join(["ass", "asi", "the", "river"] * 200))
+    np.add.at(t, (c[:-2], c[1:-1], c[2:]), 1)
+    model = toxicity.Model(toxicity.costs(t), {"ass$": 2.0, "asi$": 2.0}, np.zeros(3))
+    assert model.most(toxicity.restore(token, model.lm)) == 2.0
+    assert "river" in toxicity.restore("river$", model.lm)
+
+
 def test_plain_words_stay(lm):
     assert toxicity.restore("River,", lm) == ["river"] and toxicity.restore("12", lm) == [] and toxicity.restore("", lm) == []
     assert "stupid" in toxicity.spaced_words("stupid", lm)
