@@ -20,6 +20,8 @@ ORDERS = (2, 3, 4)
 SAMPLE = 600
 SAMPLE_ROWS = 8_000
 SAMPLE_CHARS = 20_000
+#: Labels to learn at most; a table with more is refused.
+MOST_LABELS = 500
 EPOCHS = 12
 BATCH = 32
 RATE = 20.0
@@ -186,14 +188,17 @@ def fit(texts: list[str], languages: list[str], seed: int = SEED, max_error: flo
     return Model(names, log_odds, bias.astype(float), scale, threshold)
 
 
-def train(docs: DataFrame, text: str = "text", label: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, text: str = "text", label: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE, most_labels: int = MOST_LABELS) -> Model:
     """Fit on a bounded sample: about ``sample`` rows of each label, chosen by a hash of their ids.
 
     Only rows that aren't held out, have a label, and have a text of at most 20,000 characters count.
+    More than ``most_labels`` labels among them raise an error, as a label left out would never be predicted.
     """
     rows = docs.where(~held_out(F.col(doc_id)) & F.col(label).isNotNull() & F.col(text).isNotNull())
     rows = rows.where(F.length(text) <= SAMPLE_CHARS)
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(500).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels + 1).collect()}
+    if len(counts) > most_labels:
+        raise ValueError(f"{label} has more than {most_labels} labels")
     if not counts:
         return fit([], [])
     sample = min(sample, SAMPLE_ROWS / len(counts))

@@ -85,6 +85,17 @@ def test_odd_tables_of_languages(docs, rows, empty, clashing, languages, spark):
     assert set(langid.train(docs).languages) == {"en", "fr"}
 
 
+def test_more_labels_than_the_bound_are_refused(spark):
+    rows = [(i, "some words of a text", f"l{i % 6}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(langid.train(docs, most_labels=6).languages) == 6
+    with pytest.raises(ValueError, match="more than 5"):
+        langid.train(docs, most_labels=5)
+    with pytest.raises(ValueError, match="more than 500"):
+        langid.train(docs.withColumn("lang", F.concat("lang", F.lit("-"), (F.col("doc_id") * 0).cast("string"))).unionByName(
+            spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"), F.col("id").cast("string").alias("lang"))))
+
+
 # -- packing
 
 
