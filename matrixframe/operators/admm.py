@@ -14,6 +14,8 @@ from ..plans import physical
 
 #: Rounds between two checkpoints of the rows' state.
 REPLAY = 10
+#: Classes at most, a column of targets each; more are refused.
+MOST_CLASSES = 10_000
 
 
 @dataclass
@@ -27,12 +29,14 @@ class AdmmResult:
 
 def targets(y: MatrixFrame, regression: bool) -> MatrixFrame:
     """Targets as the losses want them: for classification 0/1 or class numbers become −1 and 1, a column a
-    class against all others."""
+    class against all others. More than ``MOST_CLASSES`` raise an error."""
     if regression:
         return y
     if y.n_cols > 1:
         return y.map_rows(F.transform("features", lambda v: F.when(v > 0, 1.0).otherwise(-1.0)), y.n_cols)
-    classes = [r[0] for r in y.df.select(F.element_at("features", 1)).distinct().orderBy(F.element_at("features", 1)).limit(10_000).collect()]
+    classes = [r[0] for r in y.df.select(F.element_at("features", 1)).distinct().orderBy(F.element_at("features", 1)).limit(MOST_CLASSES + 1).collect()]
+    if len(classes) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
     if len(classes) <= 2:
         top = classes[-1] if classes else 1.0
         return y.map_rows(F.transform("features", lambda v: F.when(v == top, 1.0).otherwise(-1.0)), 1)

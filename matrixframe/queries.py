@@ -419,7 +419,7 @@ def admm_squared_l2(spark, sf_dir):
 def admm_hinge_l1(spark, sf_dir):
     """A sparse linear separator of label 0 from the rest: its nonzero coefficients."""
     y = label_matrix(spark, sf_dir).map_rows(F.transform("features", lambda v: F.when(v == 0, 1.0).otherwise(0.0)), 1)
-    found = admm_.admm(embeddings(spark, sf_dir), y, False, Loss.HINGE, Regularizer.L1, lam=1.0, max_iters=10)
+    found = admm_.admm(embeddings(spark, sf_dir), y, False, Loss.HINGE, Regularizer.L1, lam=1.0)
     return cells(MatrixFrame.from_numpy(spark, found.coefficients)).where("value <> 0")
 
 

@@ -221,6 +221,27 @@ def test_sigma_covers_rows_after_the_500th(spark, tmp_path):
     assert np.isclose(queries.sigma_estimate(spark, str(tmp_path)).first()["sigma"], want, atol=1e-6)
 
 
+def test_targets_refuse_more_classes_than_the_bound(spark, monkeypatch):
+    from matrixframe.operators import admm as module
+
+    y = mat(spark, np.arange(6.0)[:, None])
+    assert module.targets(y, False).n_cols == 6
+    monkeypatch.setattr(module, "MOST_CLASSES", 5, raising=False)
+    with pytest.raises(ValueError, match="more than 5 classes"):
+        module.targets(y, False)
+
+
+def test_hinge_query_runs_the_operators_default_rounds(spark, tmp_path, monkeypatch):
+    from matrixframe import queries
+    from matrixframe.operators import admm as module
+
+    seen = []
+    monkeypatch.setattr(queries.admm_, "admm", lambda *a, **k: seen.append(k) or module.AdmmResult(np.ones((64, 1)), 0, 0, 0, 0))
+    spark.createDataFrame([(i, [1.0] * 64, i % 2) for i in range(4)], "vec_id long, embedding array<double>, label long").write.parquet(f"{tmp_path}/embeddings.parquet")
+    queries.admm_hinge_l1(spark, str(tmp_path))
+    assert "max_iters" not in seen[0]
+
+
 def test_row_numbers(spark):
     from pyspark.sql import functions as F
 
