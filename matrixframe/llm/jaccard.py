@@ -25,9 +25,11 @@ CELLS, CELL_CHUNK = 1 << 18, 1 << 12
 SHORT = 8
 #: Members of a block of a large group; a group goes by pairs of blocks.
 BLOCK = 1024
+#: Members of a long list that a task hands on at a time.
+PIECE = 16_384
 FANOUT = 16
-#: Stands for a null id where ids are compared.
-NO_ID = (1 << 63) - 1
+#: Cells of at least this level (so many doublings above the mean) spread their shingles over salts.
+HOT_LEVEL, SALTS = 4, 64
 
 
 def least_overlap(total):
@@ -44,6 +46,12 @@ def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
+def index_length(n: int) -> int:
+    """So many of its first shingles does the smaller of two linked sets need to meet the larger one's prefix:
+    of the n, the smaller has at least those in common that two sets of its size would need."""
+    return n - int(least_overlap(2 * n)) + 1
+
+
 class Shingles:
     """Sorted shingle sets of texts: of lower-cased words, five in a row, or all words of a shorter text."""
 
@@ -187,11 +195,14 @@ class Inverted:
         return np.bincount(self.owner[at], minlength=self.n)
 
 
-def forest_of(sides: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray], sets: list[np.ndarray] | None, cross: bool) -> Forest:
+def forest_of(
+    sides: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray], sets: list[np.ndarray] | None, cross: bool, first: np.ndarray | None = None
+) -> Forest:
     """Trees of the members of a block, or of two blocks, that link (with ``sets``) or may link (without).
 
     In ``cross`` mode only pairs from both sides count; the others belong to the blocks' own tasks. A query
     passes over members that are in its tree already, so a large group costs little more than its links.
+    ``first`` marks members that are in their list by one of their first shingles: only pairs count whose smaller set is.
     """
     forest = Forest(len(sizes))
     queries = np.flatnonzero(sides == 0)
@@ -205,6 +216,8 @@ def forest_of(sides: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray], s
         found = found[found != q] if cross else found[found < q]
         if not len(found):
             continue
+        if first is not None:
+            found = found[(first[found] & (sizes[found] <= sizes[q])) | (first[q] & (sizes[q] <= sizes[found]))]
         found = found[forest.roots()[found] != forest.find(q)]
         if index is not None and len(found):
             overlap = index.overlaps(sets[q])[np.searchsorted(data, found)]
@@ -215,17 +228,17 @@ def forest_of(sides: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray], s
 
 
 def _count_pass(docs: DataFrame) -> DataFrame:
-    """A row a document ``(doc_id, n, cls, vec)``, and a partition's counts of shingles by cell, in chunks."""
+    """A row a document ``(doc_id, row, n, cls, vec)``, and a partition's counts of shingles by cell, in chunks."""
 
     def run(batches):
         shingles, cells = Shingles(), np.zeros(CELLS, dtype=np.uint32)
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part, out, sets = b.slice(at, 500), [], []
-                for doc_id, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for doc_id, row, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     s = shingles(text)
                     sets.append(s)
-                    out.append((doc_id, len(s), set_class(s) if len(s) else None, packed(count_vector(s)) if len(s) else None))
+                    out.append((doc_id, row, len(s), set_class(s) if len(s) else None, packed(count_vector(s)) if len(s) else None))
                 cells += np.bincount(cell_of(np.concatenate(sets)), minlength=CELLS).astype(np.uint32)
                 yield _rows(out, [])
         used = [c for c in range(0, CELLS, CELL_CHUNK) if cells[c : c + CELL_CHUNK].any()]
@@ -233,12 +246,12 @@ def _count_pass(docs: DataFrame) -> DataFrame:
 
     def _rows(documents, chunks):
         n = len(documents) + len(chunks)
-        d = list(zip(*documents, strict=True)) or [[None] * n] * 4
+        d = list(zip(*documents, strict=True)) or [[None] * n] * 5
         c = list(zip(*chunks, strict=True)) if chunks else [[None] * n] * 2
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
-        return pa.record_batch([pa.array(x, t) for x, t in zip([*d, *c], kinds, strict=True)], ["doc_id", "n", "cls", "vec", "chunk", "cells"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
+        return pa.record_batch([pa.array(x, t) for x, t in zip([*d, *c], kinds, strict=True)], ["doc_id", "row", "n", "cls", "vec", "chunk", "cells"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, vec binary, chunk int, cells binary")
+    return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, n long, cls long, vec binary, chunk int, cells binary")
 
 
 def _levels(counted: DataFrame) -> np.ndarray:
@@ -259,13 +272,16 @@ def _levels(counted: DataFrame) -> np.ndarray:
 
 
 def _entries(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """``token, cls, n``: each class by the shingles of its prefix, rare cells first. A task names a class once."""
+    """``token, salt, cls, n``: each class by the shingles of its prefix, rare cells first. A task names a class once.
+
+    ``n`` is negative for the shingles behind the class's first ones (``index_length``). A shingle of a hot
+    cell has its classes dealt over salts from 1; others have salt 0."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
         shingles, seen = Shingles(), set()
         for b in batches:
-            tokens, classes, sizes = [], [], []
+            tokens, salts, classes, sizes = [], [], [], []
             for text in b.column(0):
                 s = shingles(text.as_py())
                 if not len(s) or (c := set_class(s)) in seen:
@@ -276,46 +292,74 @@ def _entries(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                 if level.any():
                     s = s[np.argsort(level, kind="stable")]  # within a level in the order of the hash
                 tokens.append(s[:p])
+                salts.append(np.where(shared.value[cell_of(s[:p])] >= HOT_LEVEL, 1 + c % SALTS, 0))
                 classes.append(np.full(p, c))
-                sizes.append(np.full(p, len(s)))
+                sizes.append(np.where(np.arange(p) < index_length(len(s)), len(s), -len(s)))
             if tokens:
-                columns = [np.concatenate(tokens).view(np.int64), np.concatenate(classes), np.concatenate(sizes).astype(np.int32)]
+                columns = [np.concatenate(tokens).view(np.int64), np.concatenate(salts).astype(np.int32), np.concatenate(classes), np.concatenate(sizes).astype(np.int32)]
                 for at in range(0, len(columns[0]), 100_000):
-                    yield pa.record_batch([pa.array(c[at : at + 100_000]) for c in columns], ["token", "cls", "n"])
+                    yield pa.record_batch([pa.array(c[at : at + 100_000]) for c in columns], ["token", "salt", "cls", "n"])
+
+    return docs.select("text").mapInArrow(run, "token long, salt int, cls long, n int")
 
-    return docs.select("text").mapInArrow(run, "token long, cls long, n int")
+
+def _whole_lists(batches):
+    """Sorted rows ``token, salt, cls, n`` without repeats, cut where a new token begins, and whether the first and
+    the last list are pieces of longer ones. A piece is only cut off where the rest alone makes the list long."""
+    held, began = None, False
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+        token, cls = now[0], now[2]
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])])
+        now = [x[new] for x in now]
+        last = int(np.searchsorted(now[0], now[0][-1]))  # tokens ascend, so the last list begins here
+        piece = len(now[0]) - last > 2 * PIECE
+        if piece:
+            last = len(now[0]) - PIECE
+        if last:
+            yield [x[:last] for x in now], began, piece
+            began = piece
+        held = [x[last:] for x in now]
+    if held is not None:
+        yield held, began, False
 
 
 def _lists(entries: DataFrame) -> DataFrame:
-    """Classes that share a token: ``a, b`` pairs of short lists that fit in size, or ``token, a`` members of long ones."""
+    """Classes that share a token: ``a, b`` pairs of short lists that fit in size, or ``token, a, first`` members
+    of long ones. Pairs count whose smaller set has the token among its first.
+
+    Rows come sorted and are read as a stream, so a task holds few batches however long a list is. Lists of
+    a hot cell's tokens are dealt by salt and count as long."""
 
     def run(batches):
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
-        if not got:
-            return
-        token, cls, n = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((cls, token))
-        token, cls, n = token[order], cls[order], n[order]
-        new = np.ones(len(token), dtype=bool)
-        new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-        token, cls, n = token[new], cls[new], n[new].astype(np.int64)
-        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        length = np.diff(np.concatenate([start, [len(token)]]))
-        pairs = []
-        for d in range(1, SHORT):
-            short = np.repeat((length > d) & (length <= SHORT), length)
-            last = np.repeat(start + length, length) - d
-            at = np.flatnonzero(short & (np.arange(len(token)) < last))
-            at = at[sizes_fit(n[at], n[at + d])]
-            pairs.append(np.column_stack([cls[at], cls[at + d]]))
-        pairs = np.unique(np.concatenate(pairs), axis=0)
-        none = pa.nulls(len(pairs), pa.int64())
-        yield pa.record_batch([none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none], ["token", "a", "b", "m"])
-        at = np.flatnonzero(np.repeat(length > SHORT, length))
-        m = pa.array(np.repeat(length, length)[at])
-        yield pa.record_batch([pa.array(token[at]), pa.array(cls[at]), pa.nulls(len(at), pa.int64()), m], ["token", "a", "b", "m"])
-
-    return entries.repartition("token").mapInArrow(run, "token long, a long, b long, m long")
+        for (token, salt, cls, n), began, goes_on in _whole_lists(batches):
+            first, n = n > 0, np.abs(n.astype(np.int64))
+            start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            length = np.diff(np.concatenate([start, [len(token)]]))
+            long = (length > SHORT) | (salt[start] > 0)
+            some = np.logical_or.reduceat(first, start)  # without a first member a list has no pairs
+            long[0], some[0] = long[0] or began, some[0] or began
+            long[-1], some[-1] = long[-1] or goes_on, some[-1] or goes_on
+            pairs = []
+            for d in range(1, SHORT):
+                short = np.repeat((length > d) & ~long, length)
+                last = np.repeat(start + length, length) - d
+                at = np.flatnonzero(short & (np.arange(len(token)) < last))
+                ok = (first[at] & (n[at] <= n[at + d])) | (first[at + d] & (n[at + d] <= n[at]))
+                at = at[ok & sizes_fit(n[at], n[at + d])]
+                pairs.append(np.column_stack([cls[at], cls[at + d]]))
+            pairs = np.unique(np.concatenate(pairs), axis=0)
+            none = pa.nulls(len(pairs), pa.int64())
+            yield pa.record_batch([none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.bool_())], ["token", "a", "b", "first"])
+            at = np.flatnonzero(np.repeat(long & (some | (salt[start] > 0)), length))
+            yield pa.record_batch([pa.array(token[at]), pa.array(cls[at]), pa.nulls(len(at), pa.int64()), pa.array(first[at])], ["token", "a", "b", "first"])
+
+    dealt = entries.repartition("token", "salt").sortWithinPartitions("token", "cls")
+    return dealt.mapInArrow(run, "token long, a long, b long, first boolean")
 
 
 def _may_link(n_a: list, v_a: list, n_b: list, v_b: list) -> np.ndarray:
@@ -383,15 +427,17 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def _possible_links(long: DataFrame, classes: DataFrame) -> DataFrame:
     """Edges that span, in each long list, what the R-tree's bound lets link."""
-    members = long.select("token", F.col("a").alias("cls"), "m")
+    sized = long.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.max("first").alias("any")).where("any and m > 1")
+    members = long.join(sized, "token").select("token", F.col("a").alias("cls"), "m", "first")
     dealt = _in_blocks(members, "token", "m").join(classes.select("cls", "n", "vec"), "cls")
-    sorted_ = dealt.select("token", "i", "k", "side", "cls", "n", "vec").repartition("token", "i", "k").sortWithinPartitions("token", "i", "k", "cls")
+    columns = ("token", "i", "k", "side", "cls", "first", "n", "vec")
+    sorted_ = dealt.select(*columns).repartition("token", "i", "k").sortWithinPartitions("token", "i", "k", "cls")
 
     def run(batches):
         for (_, i, k), rows in _by_group(batches, 3):
-            side, cls, n, vec = zip(*rows, strict=True)
+            side, cls, first, n, vec = zip(*rows, strict=True)
             vectors = [unpacked(v, x) for v, x in zip(vec, n, strict=True)]
-            forest = forest_of(np.array(side), np.array(n), vectors, None, i != k)
+            forest = forest_of(np.array(side), np.array(n), vectors, None, i != k, np.array(first))
             yield _edges([(cls[x], cls[y]) for x, y in forest.joined])
 
     return sorted_.mapInArrow(run, "a long, b long")
@@ -401,9 +447,11 @@ def _links(docs: DataFrame, clusters: DataFrame, classes: DataFrame) -> DataFram
     """Edges that span the true components within each cluster, verified on whole shingle sets."""
     sized = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     members = clusters.join(sized, "root").select(F.col("root").alias("cluster"), "m", F.col("node").alias("cls"))
-    dealt = _in_blocks(members, "cluster", "m").join(classes.select("cls", "rep"), "cls")
-    texts = docs.where(F.col("text").isNotNull()).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"), "text")
-    with_text = dealt.select("cluster", "i", "k", "side", "cls", "rep").join(texts, "rep")
+    # one text a class: that of its representative row, of which there may be repeats
+    needed = members.select("cls").join(classes.select("cls", "name"), "cls")
+    texts = docs.select("name", "text").join(needed, "name").groupBy("cls").agg(F.first("text").alias("text"))
+    dealt = _in_blocks(members, "cluster", "m")
+    with_text = dealt.select("cluster", "i", "k", "side", "cls").join(texts, "cls")
     sorted_ = with_text.select("cluster", "i", "k", "side", "cls", "text").repartition("cluster", "i", "k").sortWithinPartitions("cluster", "i", "k", "cls")
 
     def run(batches):
@@ -426,20 +474,43 @@ class _List(list):
 
 
 def _shingled(batches, shingles):
-    """Batches with the text replaced by its set; of rows with one class in a task, only the first."""
-    last = None
+    """Batches with the text replaced by its set."""
     for b in batches:
-        rows = []
-        for *key, cls, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            s = shingles(text)
-            if (*key[:3], cls) == last or set_class(s) != cls:
-                continue
-            last = (*key[:3], cls)
-            rows.append((*key, cls, s))
+        rows = [(*key, shingles(text)) for *key, text in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         if rows:
             yield _Columns(_List(c) for c in zip(*rows, strict=True))
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row``, a hash of id and text, and ``name``, by which rows are told apart and ordered: by id,
+    those without one last, then by the hash. Rows equal in id and text have one name."""
+    with_row = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    return with_row.withColumn("name", _name())
+
+
+def _name():
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
+
+
+def _components(docs: DataFrame) -> DataFrame:
+    """``name, n_shingles, least`` of every row, ``least`` the first name in its component."""
+    docs = named(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    counted = checkpointed(_count_pass(docs))
+    of_docs = counted.where("chunk is null").select(_name().alias("name"), "n", "cls", "vec")
+    by_class = of_docs.where("cls is not null").groupBy("cls")
+    classes = checkpointed(by_class.agg(F.min("name").alias("name"), F.first("n").alias("n"), F.first("vec").alias("vec")))
+    lists = checkpointed(_lists(_entries(docs, _levels(counted))))
+    pairs, long = lists.where("token is null").select("a", "b"), lists.where("token is not null").select("token", "a", "first")
+    possible = _bounded_pairs(pairs, classes).unionByName(_possible_links(long, classes))
+    clusters = components(possible)
+    linked = components(_links(docs, clusters, classes))
+    roots = linked.join(classes.select(F.col("cls").alias("node"), "name"), "node")
+    least = roots.groupBy("root").agg(F.min("name").alias("least"))
+    component = roots.join(least, "root").select(F.col("node").alias("cls"), "least")
+    own = classes.select("cls", F.col("name").alias("first")).join(component, "cls", "left").select("cls", F.coalesce("least", "first").alias("least"))
+    return of_docs.join(own, "cls", "left").select("name", F.col("n").alias("n_shingles"), F.coalesce("least", "name").alias("least"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``; only ``doc_id`` and ``text`` are read.
 
@@ -447,9 +518,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component is the least ``doc_id`` that links lead to. No link is lost:
 
     1. Documents with equal sets become one class, named by a 64-bit hash of the set, so copies cost a row.
-    2. Two sets that link share a shingle among the first quarter of either, in any order common to all.
-       Shingles are ordered by how frequent their cell is over the whole corpus, then by hash, so
-       passages that many documents share rarely bring them together.
+    2. Two sets that link share a shingle that is among the first quarter of the larger and the first seventh
+       or so of the smaller, in any order common to all. Shingles are ordered by how frequent their cell
+       is over the whole corpus, then by hash, so passages that many documents share rarely bring them together.
     3. Classes that share such a shingle are compared by count vectors. Short lists are paired; long ones
        are indexed in an R-tree whose nodes bound the overlap by summed coordinate minima, and only a
        forest of what may link goes on. Lists and clusters over 1,024 members go by pairs of blocks.
@@ -457,24 +528,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
        sets, give the true links, of which again only a forest is kept, and its components.
 
     A text without words, and a null one, has an empty set and stays alone. Equal ids and repeated rows
-    get a row each; a null id stays null, and so does its component where no other id is in it. Other
+    get a row each; rows without an id link as others do, by a hash of the row, and a null id stays null, and
+    so does its component where no other id is in it. Very long texts are taken whole. Other
     columns are ignored. An empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counted = checkpointed(_count_pass(docs))
-    of_docs = counted.where("chunk is null").select("doc_id", "n", "cls", "vec")
-    classes = checkpointed(
-        of_docs.where("cls is not null").groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep"), F.first("n").alias("n"), F.first("vec").alias("vec"))
-    )
-    lists = checkpointed(_lists(_entries(docs, _levels(counted))))
-    pairs, long = lists.where("token is null").select("a", "b"), lists.where("token is not null")
-    possible = _bounded_pairs(pairs, classes).unionByName(_possible_links(long, classes))
-    clusters = components(possible)
-    linked = components(_links(docs, clusters, classes))
-    roots = linked.join(classes.select(F.col("cls").alias("node"), "rep"), "node")
-    least = roots.groupBy("root").agg(F.min("rep").alias("least"))
-    component = roots.join(least, "root").select(F.col("node").alias("cls"), "least")
-    own = classes.select("cls", "rep").join(component, "cls", "left").select("cls", F.coalesce("least", "rep").alias("found"))
-    return of_docs.select("doc_id", "n", "cls").join(own, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.nullif("found", F.lit(NO_ID)), "doc_id").alias("component_id")
-    )
+    return _components(docs).select("name.doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"))
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """Of each component the row with the least id, or where no row has one, that with the least hash.
+
+    Texts without words, null ones too, are alone and stay; so does one of rows equal in id and text, whatever their other columns
+    say. Columns stay as they are; an empty table gives no rows.
+    """
+    kept = _components(docs).where("name = least").select("name").distinct()
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = named(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", whole.alias("whole")))
+    return rows.groupBy("name").agg(F.min("whole").alias("whole")).join(kept, "name").select("whole.*")

@@ -93,6 +93,61 @@ def test_documents_without_ids(spark):
     assert got == sorted([(None, 36, 9), (None, 37, 9), (9, 36, 9), (None, 1, None)], key=repr)
 
 
+def test_streams_and_salts_of_long_lists_lose_nothing(spark, corpus, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    monkeypatch.setattr(jaccard, "SHORT", 2)
+    monkeypatch.setattr(jaccard, "PIECE", 5)
+    monkeypatch.setattr(jaccard, "HOT_LEVEL", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        rows = [(r[0] if r[0] % 3 else None, r[1]) for r in corpus]
+        assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_lists_in_pieces_have_all_their_members(monkeypatch):
+    monkeypatch.setattr(jaccard, "PIECE", 4)
+    import pyarrow as pa
+
+    rows = sorted({(t, c) for t, m in ((1, 3), (2, 40), (3, 1), (4, 9)) for c in range(m)})
+    rows = [r for r in rows for _ in range(3)]  # named by three tasks
+    batches = [
+        pa.record_batch([pa.array([r[0] for r in b]), pa.array([0] * len(b)), pa.array([r[1] for r in b]), pa.array([5] * len(b))], ["token", "salt", "cls", "n"])
+        for b in (rows[s : s + 7] for s in range(0, len(rows), 7))
+    ]
+    seen, pieces = set(), []
+    for (token, _, cls, _), began, goes_on in jaccard._whole_lists(batches):
+        seen |= set(zip(token.tolist(), cls.tolist(), strict=True))
+        pieces.append((token.tolist(), began, goes_on))
+    assert seen == set(rows)
+    for (a, _, goes_on), (b, began, _) in itertools.pairwise(pieces):
+        assert goes_on == began == (a[-1] == b[0])
+
+
+def test_one_row_of_each_component_is_kept(spark, corpus, docs, rows, empty, clashing):
+    df = spark.createDataFrame(corpus, "doc_id long, text string")
+    kept = {r["doc_id"] for r in jaccard.distinct_documents(df).collect()}
+    assert kept == {i for i, _, c in brute(corpus) if i == c}
+    without = spark.createDataFrame([(None, t, i) for i, t in corpus], "doc_id long, text string, other long")
+    assert jaccard.distinct_documents(without).count() == len(kept)
+    assert jaccard.distinct_documents(empty).count() == 0
+    assert jaccard.distinct_documents(clashing).columns == clashing.columns
+
+
+def test_rows_without_ids_are_no_hot_key(spark):
+    """800 near copies without ids: no stage makes more rows of them than of as many with ids."""
+    rng = random.Random(1)
+    base = prose(rng, 60)
+    texts = [near(rng, base, 2) for _ in range(800)]
+    rows = [(None, t) for t in texts]
+    got = found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert len(got) == 800 and {c for _, _, c in got} == {None}
+    named = found(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert jaccard.distinct_documents(df).count() == len({c for _, _, c in named})
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 60), min_size=1, max_size=40), min_size=2, max_size=12))
 def test_tree_never_misses_a_link(raw):
@@ -141,6 +196,16 @@ def test_blocks_of_different_widths_lose_nothing(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 7, 8, 100])
+def test_first_shingles_of_linked_sets_meet(n):
+    """The smaller set's first shingles reach its first common one, wherever the others are."""
+    for m in range(n, int(n / 0.75) + 1):
+        least = int(jaccard.least_overlap(n + m))
+        if least <= n and 100 * least >= 75 * (n + m - least):
+            assert n - least < jaccard.index_length(n) and m - least < jaccard.prefix_length(m)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 400))
 def test_prefixes_of_linked_sets_meet(n):
     p = jaccard.prefix_length(n)
     assert 1 <= p <= n and n - p + 1 == -(-3 * n // 4)
