@@ -17,25 +17,28 @@ SPACE = r"[\x20\x09-\x0D]+"
 HELD_OUT = 2
 
 
-def _folder(spark: SparkSession) -> str:
-    """The shared folder in ``spark.checkpoint.dir``; a temporary one only where the session names none, as in
-    tests on one machine."""
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder in ``spark.checkpoint.dir``. Where the session names none, a temporary one on a local
+    master, as in tests, and an error on a cluster, whose machines would each write to their own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and go on from there."""
-    _folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def written(df: DataFrame) -> DataFrame:
     """As ``checkpointed``, as a table. For loops: a checkpoint keeps the size that the optimizer guessed,
     which joins square each round; a table has the size of its files."""
-    path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
@@ -44,8 +47,12 @@ def written(df: DataFrame) -> DataFrame:
 
 def removed(df: DataFrame) -> None:
     """Delete what ``written`` wrote, once nothing reads it any more."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    delete(df.sparkSession, df.written_to)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
