@@ -189,10 +189,14 @@ def fit(texts: list[str], languages: list[str], seed: int = SEED, max_error: flo
 
 
 def train(docs: DataFrame, text: str = "text", label: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE, most_labels: int = MOST_LABELS) -> Model:
-    """Fit on a bounded sample: about ``sample`` rows of each label, chosen by a hash of their ids.
+    """Fit on a bounded sample: about ``sample`` texts of each label, chosen by a hash of the text.
 
-    Only rows that aren't held out, have a label, and have a text of at most 20,000 characters count.
+    Only rows that aren't held out, have a label, and have a text of at most ``SAMPLE_CHARS`` characters
+    count; a label that only longer texts have is never learned, though longer texts are predicted whole.
     More than ``most_labels`` labels among them raise an error, as a label left out would never be predicted.
+    Repeated rows and rows without an id count as others do, equal texts of one label once in the
+    sample; at most twice ``SAMPLE_ROWS`` texts come to the driver. A table without such rows gives a model
+    that knows no language and calls every text ``und``.
     """
     rows = docs.where(~held_out(F.col(doc_id)) & F.col(label).isNotNull() & F.col(text).isNotNull())
     rows = rows.where(F.length(text) <= SAMPLE_CHARS)
@@ -203,18 +207,20 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", doc_id: str
         return fit([], [])
     sample = min(sample, SAMPLE_ROWS / len(counts))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n))])
-    u = F.pmod(F.xxhash64(F.lit(SEED), doc_id), F.lit(1 << 20)) / (1 << 20)
-    got = rows.where(u < F.element_at(share, F.col(label))).select(doc_id, text, label).toArrow().to_pylist()
-    got.sort(key=lambda r: (r[doc_id], r[label], r[text]))
+    order = F.xxhash64(F.lit(SEED), text)
+    u = F.pmod(order, F.lit(1 << 20)) / (1 << 20)
+    chosen = rows.where(u < F.element_at(share, F.col(label))).select(text, label).distinct()
+    got = chosen.orderBy(order, text, label).limit(2 * SAMPLE_ROWS).toArrow().to_pylist()
     return fit([r[text] for r in got], [r[label] for r in got])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``accepted`` behind its columns.
 
-    Only the text is read. A null text and one without letters get ``und`` and score 0 and aren't
-    accepted; of other texts those that score under the model's threshold aren't. Columns of these
-    three names are replaced; rows and other columns stay as they are; an empty table gives no rows.
+    Only the text is read, whole at any length. A null text and one without letters get ``und`` and score 0
+    and aren't accepted; of other texts those that score under the model's threshold aren't. Equal scores
+    go to the language that is first by name. Equal texts, and so repeated rows, get equal results. Columns
+    of these three names are replaced; rows and other columns stay as they are; an empty table gives no rows.
     """
     docs = without(docs, "lang_pred", "score", "accepted")
     keep = docs.columns
