@@ -18,16 +18,38 @@ COO_SCHEMA = "row_id long, col_id long, value double"
 LOCAL_BYTES = 64 << 20
 #: Longest row that a transpose into row form may make.
 LONGEST_ROW = 1 << 21
+#: Partial sums that are merged at a time, and the cells of a sum that travel as one piece.
+FAN, PANEL_CELLS = 32, 1 << 17
+PANEL_SCHEMA = "part long, panel long, data array<double>"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage at the shared folder in ``spark.checkpoint.dir``, or a temporary one where it is unset."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Where it is unset, a temporary one on a local master and an error on a cluster."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage at the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def partitions_of(df: DataFrame) -> int:
+    """Tasks that ``df`` will have: exact for plans without shuffles, else what the plan or the session says of them."""
+    execution = df._jdf.queryExecution()
+    plan = execution.executedPlan()
+    if plan.nodeName().startswith("Adaptive"):
+        usual = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+        return max(usual, plan.inputPlan().outputPartitioning().numPartitions())
+    return execution.toRdd().getNumPartitions()
+
+
 def block_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Row ids and the 2-D array of a batch in row form."""
     ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -52,6 +74,26 @@ def batch_of(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.asarray(ids, dtype=np.int64)), lists], ["row_id", "features"])
 
 
+def panel_of(part: int, panel: int, x: np.ndarray) -> pa.RecordBatch:
+    data = pa.ListArray.from_arrays(pa.array([0, x.size], pa.int32()), pa.array(np.ascontiguousarray(x).ravel()))
+    return pa.record_batch([pa.array([part], pa.int64()), pa.array([panel], pa.int64()), data], ["part", "panel", "data"])
+
+
+def sum_of(table: pa.Table) -> np.ndarray:
+    """The sum of a few panels, added in the order of their tasks."""
+    order = np.argsort(table.column("part").to_numpy(), kind="stable")
+    data = table.column("data")
+    total = data[int(order[0])].values.to_numpy().copy()
+    for i in order[1:]:
+        total += data[int(i)].values.to_numpy()
+    return total
+
+
+def merged_panels(table: pa.Table) -> pa.Table:
+    part, panel = table.column("part").to_numpy().min() // FAN, table.column("panel")[0].as_py()
+    return pa.Table.from_batches([panel_of(int(part), panel, sum_of(table))])
+
+
 class MatrixFrame:
     """A lazy n x m matrix in row form: ``row_id`` from 0 to n-1 and ``features``, m doubles.
 
@@ -61,6 +103,8 @@ class MatrixFrame:
     def __init__(self, df: DataFrame, n_rows: int | None = None, n_cols: int | None = None):
         self.df = df.select(F.col("row_id").cast("long").alias("row_id"), F.col("features").cast("array<double>").alias("features"))
         self._dims = (n_rows, n_cols) if n_rows is not None and n_cols is not None else None
+        #: The frame that this one's blocks were computed from, and how, if it is such and isn't kept itself.
+        self.source: tuple[MatrixFrame, Callable] | None = None
 
     # -- construction
 
@@ -150,10 +194,12 @@ class MatrixFrame:
         return cells.select("row_id", F.col("col_id").cast("long").alias("col_id"), "value")
 
     def to_numpy(self) -> np.ndarray:
-        """The whole matrix in the order of its rows; meant for small ones and tests."""
-        table = self.df.orderBy("row_id").toArrow()
-        blocks = [block_of(b)[1] for b in table.to_batches() if b.num_rows]
-        return np.concatenate(blocks) if blocks else np.zeros((0, self.n_cols))
+        """The whole matrix in the order of its rows, sorted on the driver; meant for small ones and tests."""
+        got = [block_of(b) for b in self.df.toArrow().to_batches() if b.num_rows]
+        if not got:
+            return np.zeros((0, self.n_cols))
+        ids, x = (np.concatenate(c) for c in zip(*got, strict=True))
+        return x[np.argsort(ids, kind="stable")]
 
     def local(self, limit: int = LOCAL_BYTES) -> np.ndarray:
         """``to_numpy`` of a matrix of at most ``limit`` bytes."""
@@ -161,6 +207,13 @@ class MatrixFrame:
             raise ValueError(f"a {self.n_rows} x {self.n_cols} matrix has {self.n_bytes()} bytes; at most {limit} may be gathered")
         return self.to_numpy()
 
+    def pretty(self, rows: int = 10, cols: int = 10, least: float = 1e-10) -> str:
+        """The upper left corner as text, a line a row; values of ``least`` or under, negative ones too, show as 0."""
+        corner = MatrixFrame(self.df.where(F.col("row_id") < rows).select("row_id", F.slice("features", 1, cols).alias("features")), None, None)
+        lines = [" ".join(f"{v if v > least else 0.0:>12.6g}" for v in r) for r in corner.to_numpy()]
+        more = [f"... {self.n_rows} x {self.n_cols}"] if self.n_rows > rows or self.n_cols > cols else []
+        return "\n".join([*lines, *more])
+
     def to_indexed_row_matrix(self):
         from pyspark.mllib.linalg import Vectors
         from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
@@ -169,6 +222,7 @@ class MatrixFrame:
 
     def persist(self) -> MatrixFrame:
         self.df = self.df.persist()
+        self.source = None
         return self
 
     def unpersist(self) -> MatrixFrame:
@@ -190,34 +244,99 @@ class MatrixFrame:
                     yield batch_of(ids, fn(ids, x))
 
         dims = (self._dims[0], n_cols) if self._dims and n_cols is not None else (None, None)
-        return MatrixFrame(self.df.mapInArrow(run, ROW_SCHEMA), *dims)
+        out = MatrixFrame(self.df.mapInArrow(run, ROW_SCHEMA), *dims)
+        out.source = (self, fn)
+        return out
+
+    def paired(self, other: MatrixFrame) -> tuple[MatrixFrame, Callable]:
+        """Rows of this frame joined with those of another by id, and a function that splits a block of them into
+        both. Rows that blocks are computed from are joined before that where they are narrower, as a feature
+        map's input is; so the wide side is never shuffled."""
+        low, steps = self, []
+        while low.source is not None and low._dims and low.source[0]._dims and low.source[0].n_cols <= low.n_cols:
+            low, fn = low.source
+            steps.insert(0, fn)
+        right = other.df.select("row_id", F.col("features").alias("right"))
+        joined = low.df.join(right, "row_id").select("row_id", F.concat("features", "right").alias("features"))
+        k = low.n_cols
+
+        def split(ids, x):
+            left = x[:, :k]
+            for fn in steps:
+                left = fn(ids, left)
+            return left, x[:, k:]
+
+        return MatrixFrame(joined, self.n_rows, k + other.n_cols), split
+
+    def beside(self, other: MatrixFrame) -> MatrixFrame:
+        """``[self | other]`` by a join on the row id."""
+        if self.n_rows != other.n_rows:
+            raise ValueError(f"matrices of {self.n_rows} and {other.n_rows} rows can't stand side by side")
+        both, split = self.paired(other)
+        if both.n_cols == self.n_cols + other.n_cols and self.source is None:
+            return both
+        return both.map_blocks(lambda ids, x: np.column_stack(split(ids, x)))._sized(self.n_rows, self.n_cols + other.n_cols)
+
+    def _sized(self, n_rows: int, n_cols: int) -> MatrixFrame:
+        self._dims = (n_rows, n_cols)
+        return self
 
     def map_rows(self, column, n_cols: int | None = None) -> MatrixFrame:
         """Rows through a Spark expression over ``features``."""
         dims = (self._dims[0], n_cols) if self._dims and n_cols is not None else (None, None)
         return MatrixFrame(self.df.select("row_id", column.alias("features")), *dims)
 
-    def sum_blocks(self, fn: Callable[[np.ndarray, np.ndarray], np.ndarray], shape: tuple[int, int], frame: DataFrame | None = None) -> MatrixFrame:
-        """The sum of ``fn(ids, x)``, of ``shape``, over all blocks: summed in each task, then by row of the sum."""
+    def _partial_sums(self, fn, shape: tuple[int, int]) -> tuple[DataFrame, int, int]:
+        """Every task's sum of ``fn(ids, x)`` in panels of rows, merged ``FAN`` tasks at a time until at most
+        that many a panel are left; how many they are, and the rows of a panel."""
+        step = max(1, PANEL_CELLS // max(1, shape[1]))
 
         def run(batches: Iterator[pa.RecordBatch]):
-            total = np.zeros(shape)
-            any_rows = False
+            from pyspark import TaskContext
+
+            total, any_rows = None, False
             for b in batches:
                 if b.num_rows:
-                    total += fn(*block_of(b))
+                    part = fn(*block_of(b))
+                    total = np.array(part, dtype=np.float64) if total is None else np.add(total, part, out=total)
                     any_rows = True
             if any_rows:
-                step = max(1, (1 << 20) // max(1, shape[1]))
-                for s in range(0, shape[0], step):
-                    yield batch_of(np.arange(s, min(shape[0], s + step)), total[s : s + step])
-
-        def add(table: pa.Table) -> pa.Table:
-            total = sum(block_of(b)[1].sum(axis=0) for b in table.to_batches() if b.num_rows)
-            return pa.Table.from_batches([batch_of(table.column(0).slice(0, 1).to_numpy(), total[None])])
-
-        parts = (frame if frame is not None else self.df).mapInArrow(run, ROW_SCHEMA)
-        return MatrixFrame(parts.groupBy("row_id").applyInArrow(add, ROW_SCHEMA), *shape)
+                task = TaskContext.get().partitionId()
+                for panel, s in enumerate(range(0, shape[0], step)):
+                    yield panel_of(task, panel, total[s : s + step])
+
+        parts = self.df.mapInArrow(run, PANEL_SCHEMA)
+        n = partitions_of(self.df)
+        while n > FAN:
+            parts = parts.groupBy((F.col("part") / FAN).cast("long"), "panel").applyInArrow(merged_panels, PANEL_SCHEMA)
+            n = -(-n // FAN)
+        return parts, n, step
+
+    def sum_blocks(self, fn: Callable[[np.ndarray, np.ndarray], np.ndarray], shape: tuple[int, int]) -> MatrixFrame:
+        """The sum of ``fn(ids, x)``, of ``shape``, over all blocks: summed in each task, then a few tasks at a time."""
+        parts, _, step = self._partial_sums(fn, shape)
+
+        def rows(table: pa.Table) -> pa.Table:
+            total, first = sum_of(table), table.column("panel")[0].as_py() * step
+            total = total.reshape(-1, shape[1])
+            return pa.Table.from_batches([batch_of(np.arange(first, first + len(total)), total)])
+
+        return MatrixFrame(parts.groupBy("panel").applyInArrow(rows, ROW_SCHEMA), *shape)
+
+    def sum_local(self, fn: Callable[[np.ndarray, np.ndarray], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+        """``sum_blocks`` on the driver, 0 without rows. Where few tasks' sums fit there, they come without a shuffle."""
+        parts, n, step = self._partial_sums(fn, shape)
+        if 8 * shape[0] * shape[1] * n > LOCAL_BYTES:
+            parts = parts.groupBy("panel").applyInArrow(merged_panels, PANEL_SCHEMA)
+        total = np.zeros(shape)
+        got = parts.toArrow()
+        order = np.argsort(got.column("part").to_numpy(), kind="stable")  # so that reruns add up in one order
+        panels, data = got.column("panel").to_numpy(), got.column("data")
+        for i in order:
+            s = panels[i] * step
+            part = data[int(i)].values.to_numpy().reshape(-1, shape[1])
+            total[s : s + len(part)] += part
+        return total
 
     # -- algebra; the expression layer chooses how
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..frame import LOCAL_BYTES, MatrixFrame
+from ..plans.registry import operator
 from .rng import Lcg48, halton, normal_quantile
 
 SEED = 12345
@@ -44,6 +45,7 @@ def seeded_gaussian_weights(d_in: int, d_out: int, sigma: float, seed: int = 123
     return w, 2 * math.pi * Lcg48(phase_seed).doubles(d_out)
 
 
+@operator("rbf_features")
 def rbf_features(a: MatrixFrame, d_out: int, sigma: float, seed: int = 1234, phase_seed: int = 4321) -> MatrixFrame:
     """Features of the Gaussian kernel exp(−‖x−y‖²/2σ²), from the seeds of the local map."""
     return cosine_map(a, *seeded_gaussian_weights(a.n_cols, d_out, sigma, seed, phase_seed))
@@ -54,6 +56,7 @@ def random_fourier_features(a: MatrixFrame, d_out: int, sigma: float, seed: int
     return rbf_features(a, d_out, sigma, seed, seed + 1)
 
 
+@operator("gaussian_features")
 def gaussian_features(a: MatrixFrame, d_out: int, sigma: float, seed: int = SEED, quasi: bool = True) -> MatrixFrame:
     """Gaussian-kernel features; ``quasi`` takes frequencies from a leaped Halton sequence."""
     rng = np.random.default_rng(seed)
@@ -62,12 +65,14 @@ def gaussian_features(a: MatrixFrame, d_out: int, sigma: float, seed: int = SEED
     return cosine_map(a, w / sigma, rng.uniform(0, 2 * math.pi, d_out))
 
 
+@operator("laplacian_features")
 def laplacian_features(a: MatrixFrame, d_out: int, sigma: float, seed: int = SEED) -> MatrixFrame:
     """exp(−‖x−y‖₁/σ): Cauchy frequencies."""
     rng = np.random.default_rng(seed)
     return cosine_map(a, rng.standard_cauchy((d_out, a.n_cols)) / sigma, rng.uniform(0, 2 * math.pi, d_out))
 
 
+@operator("matern_features")
 def matern_features(a: MatrixFrame, d_out: int, nu: float, length: float, seed: int = SEED) -> MatrixFrame:
     """Matérn kernel of smoothness ν: Student-t frequencies of 2ν degrees of freedom."""
     rng = np.random.default_rng(seed)
@@ -75,6 +80,7 @@ def matern_features(a: MatrixFrame, d_out: int, nu: float, length: float, seed:
     return cosine_map(a, z / length, rng.uniform(0, 2 * math.pi, d_out))
 
 
+@operator("semigroup_features")
 def semigroup_features(a: MatrixFrame, d_out: int, beta: float, seed: int = SEED) -> MatrixFrame:
     """exp(−β Σ√(xᵢ+yᵢ)) of non-negative rows: random Laplace features exp(−w·x)/√D, w Lévy-distributed."""
     rng = np.random.default_rng(seed)
@@ -87,17 +93,26 @@ def count_sketch_table(d_in: int, d_out: int, seed: int = 1234) -> tuple[np.ndar
     """A bucket and a sign for each input column."""
     draws = Lcg48(seed)
     bucket = np.array([draws.integer(d_out) for _ in range(d_in)], dtype=np.int64)
-    sign = np.array([1.0 if draws.double() > 0.5 else -1.0 for _ in range(d_in)])
+    sign = np.array([2.0 * draws.integer(2) - 1 for _ in range(d_in)])
     return bucket, sign
 
 
+def sketched(x: np.ndarray, bucket: np.ndarray, sign: np.ndarray, d_out: int) -> np.ndarray:
+    """Columns added with their signs to their buckets, by sorted runs of buckets."""
+    order = np.argsort(bucket, kind="stable")
+    some, start = np.unique(bucket[order], return_index=True)
+    out = np.zeros((len(x), d_out))
+    if len(some):
+        out[:, some] = np.add.reduceat(x[:, order] * sign[order], start, axis=1)
+    return out
+
+
+@operator("count_sketch")
 def count_sketch(a: MatrixFrame, d_out: int, seed: int = 1234, table: tuple[np.ndarray, np.ndarray] | None = None) -> MatrixFrame:
     """Feature hashing: each column is added with its sign to its bucket."""
     bucket, sign = table or count_sketch_table(a.n_cols, d_out, seed)
-    s = np.zeros((a.n_cols, d_out))
-    s[np.arange(a.n_cols), bucket] = sign
-    shared = _shared(a, s)
-    return a.map_blocks(lambda ids, x: x @ shared.value[0], d_out)
+    shared = _shared(a, np.asarray(bucket), np.asarray(sign))
+    return a.map_blocks(lambda ids, x: sketched(x, *shared.value, d_out), d_out)
 
 
 def count_sketch_coo(cells: DataFrame, table: DataFrame) -> DataFrame:
@@ -106,24 +121,21 @@ def count_sketch_coo(cells: DataFrame, table: DataFrame) -> DataFrame:
     return joined.select("row_id", F.col("bucket").alias("col_id"), "value")
 
 
+@operator("polynomial_features")
 def polynomial_features(a: MatrixFrame, d_out: int, degree: int = 2, gamma: float = 1.0, c: float = 0.0, seed: int = SEED) -> MatrixFrame:
     """(γ x·y + c)^degree by TensorSketch: the product of the transforms of ``degree`` count sketches."""
     rng = np.random.default_rng(seed)
     d = a.n_cols + (c != 0)
-    tables = []
-    for _ in range(int(degree)):
-        s = np.zeros((d, d_out))
-        s[np.arange(d), rng.integers(0, d_out, d)] = rng.choice([-1.0, 1.0], d)
-        tables.append(s)
-    shared = _shared(a, *tables)
+    tables = [(rng.integers(0, d_out, d), rng.choice([-1.0, 1.0], d)) for _ in range(int(degree))]
+    shared = _shared(a, *(x for t in tables for x in t))
 
     def sketch(ids, x):
         x = math.sqrt(gamma) * x
         if c:
             x = np.column_stack([x, np.full(len(x), math.sqrt(c))])
         product = 1
-        for s in shared.value:
-            product = product * np.fft.rfft(x @ s, axis=1)
+        for bucket, sign in zip(shared.value[::2], shared.value[1::2], strict=True):
+            product = product * np.fft.rfft(sketched(x, bucket, sign, d_out), axis=1)
         return np.fft.irfft(product, d_out, axis=1)
 
     return a.map_blocks(sketch, d_out)

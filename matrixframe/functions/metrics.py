@@ -45,11 +45,11 @@ def residual(a: MatrixFrame, x: np.ndarray, b: MatrixFrame) -> float:
     """‖B − AX‖² of the solved X."""
     p = a.n_cols
     both = physical.side_by_side(a, b)
-    return float(both.sum_blocks(lambda ids, z: np.array([[((z[:, p:] - z[:, :p] @ x) ** 2).sum()]]), (1, 1)).to_numpy()[0, 0])
+    return float(both.sum_local(lambda ids, z: np.array([[((z[:, p:] - z[:, :p] @ x) ** 2).sum()]]), (1, 1))[0, 0])
 
 
 def rank_k_error(a: MatrixFrame, v: np.ndarray) -> tuple[float, float]:
     """‖A − AVVᵀ‖² and its share of ‖A‖²."""
-    error = float(a.sum_blocks(lambda ids, x: np.array([[((x - (x @ v) @ v.T) ** 2).sum()]]), (1, 1)).to_numpy()[0, 0])
+    error = float(a.sum_local(lambda ids, x: np.array([[((x - (x @ v) @ v.T) ** 2).sum()]]), (1, 1))[0, 0])
     whole = frobenius_norm(a) ** 2
     return error, error / whole if whole else 0.0

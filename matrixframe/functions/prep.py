@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,9 +51,9 @@ def max_abs(df: DataFrame, features: str = "features") -> DataFrame:
 
 def max_abs_normalize(df: DataFrame, label: str = "label", features: str = "features") -> DataFrame:
     """The label less its mean, and each feature over its column's largest magnitude (0 where that is 0)."""
-    scales = [r[1] for r in max_abs(df, features).orderBy("col_id").collect()]  # a row a column
+    scales = [r[1] for r in sorted(max_abs(df, features).collect())]  # a row a column
     mean = df.agg(F.avg(label)).first()[0]
-    scale = F.array(*[F.lit(float(s)) for s in scales])
+    scale = F.lit(np.array(scales, dtype=float))  # one literal, however many columns
     scaled = F.zip_with(features, scale, lambda x, s: F.coalesce(F.try_divide(x, s), F.lit(0.0)))
     return df.withColumns({label: F.col(label) - F.lit(mean), features: scaled})
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from ..frame import LOCAL_BYTES, MatrixFrame, checkpointed
 from ..functions.kernels import Kernel, feature_map
 from ..functions.losses import Loss, Regularizer, loss_value, prox_loss, prox_regularizer, regularizer_value
-from ..plans import physical
+
+log = logging.getLogger(__name__)
 
 #: Rounds between two checkpoints of the rows' state.
 REPLAY = 10
@@ -53,7 +55,8 @@ def admm(
     """Coefficients W that minimise Σ loss(zᵢW, yᵢ) + λ·r(W), Z the feature map of F, by graph-form ADMM.
 
     One pass sums ZᵀZ; the factor of I + ZᵀZ stays on the driver. A round is one pass, which sums
-    Zᵀ(o' + d) over the rows: o' is the proximal point and d the dual of a row's outputs. These follow from
+    Zᵀ(o' + d) over the rows: o' is the proximal point and d the dual of a row's outputs. Targets are joined to
+    the rows that Z is computed from, and each pass computes Z again, so nothing as wide as Z is shuffled or kept. o' and d follow from
     the row and all rounds' W, so tasks recompute them from the W since the last checkpoint and nothing
     that a lost executor holds is needed; every ten rounds d is checkpointed. The feature map is in ``feature_partitions``
     blocks of columns for the factorisation only.
@@ -67,21 +70,28 @@ def admm(
         raise ValueError(f"{d} features are too many for a factor on the driver")
     wanted = targets(y, regression)
     m = wanted.n_cols
-    both = physical.side_by_side(z, wanted)
-    ztz = both.sum_blocks(lambda ids, x: x[:, :d].T @ x[:, :d], (d, d)).to_numpy()
+    both, split = z.paired(wanted)
+    width = both.n_cols
+
+    def gram(ids, x):
+        zi, _ = split(ids, x)
+        return zi.T @ zi
+
+    ztz = both.sum_local(gram, (d, d))
     # features are scaled to a mean square sum of 1, or the steps of w and of o would differ by orders
     scale = float(np.sqrt(np.trace(ztz) / d)) or 1.0
     ztz = ztz / scale**2
     penalty = lam / scale**2 if regularizer == Regularizer.L2 else lam / scale
     factor = np.linalg.inv(np.eye(d) + ztz) if feature_partitions <= 1 else _blockwise_inverse(np.eye(d) + ztz, feature_partitions)
-    # rows carry z, the target, and the state at the last checkpoint: o and the dual of o
-    state = both.map_blocks(lambda ids, x: np.column_stack([x[:, :d] / scale, x[:, d:], np.zeros((len(x), 2 * m))]), d + 3 * m)
+    # rows carry what z is computed from, the target, and the state at the last checkpoint: o and the dual of o
+    state = both.map_blocks(lambda ids, x: np.column_stack([x, np.zeros((len(x), 2 * m))]), width + 2 * m)
     w, w_dual = np.zeros((d, m)), np.zeros((d, m))
     since: list[np.ndarray] = []
     sc = f.spark.sparkContext
 
-    def replayed(x: np.ndarray, history: list[np.ndarray]):
-        zi, t, o, dual = x[:, :d], x[:, d : d + m], x[:, d + m : d + 2 * m], x[:, d + 2 * m :]
+    def replayed(ids: np.ndarray, x: np.ndarray, history: list[np.ndarray]):
+        zi, t = split(ids, x[:, :width])
+        zi, o, dual = zi / scale, x[:, width : width + m], x[:, width + m :]
         for wk in history:
             half = prox_loss(loss, o - dual, t, rho)
             o = zi @ wk
@@ -95,14 +105,15 @@ def admm(
         shared = sc.broadcast(list(since))
 
         def block(ids, x, shared=shared):
-            zi, t, o, dual = replayed(x, shared.value)
+            zi, t, o, dual = replayed(ids, x, shared.value)
             half = prox_loss(loss, o - dual, t, rho)
             out = np.zeros((d + 1, m))
             out[:d] = zi.T @ (half + dual)
             return out
 
         w_half = prox_regularizer(regularizer, w - w_dual, penalty, rho)
-        summed = state.sum_blocks(block, (d + 1, m)).to_numpy()
+        summed = state.sum_local(block, (d + 1, m))
+        shared.unpersist()
         old = w
         w = factor @ (w_half + w_dual + summed[:d])
         w_dual = w_dual + w_half - w
@@ -112,14 +123,21 @@ def admm(
         dual_residual = float(np.linalg.norm(w - old) / max(np.linalg.norm(w), 1e-12))
         if len(since) == REPLAY and rounds < max_iters:
             shared = sc.broadcast(list(since))
-            moved = state.map_blocks(lambda ids, x, s=shared: np.column_stack(replayed(x, s.value)), d + 3 * m)
-            state = MatrixFrame(checkpointed(moved.df), z.n_rows, d + 3 * m)
+            moved = state.map_blocks(lambda ids, x, s=shared: np.column_stack([x[:, :width], *replayed(ids, x, s.value)[2:]]), width + 2 * m)
+            state = MatrixFrame(checkpointed(moved.df), z.n_rows, width + 2 * m)
             since = []
+        log.debug("admm round %d: primal %.3e, dual %.3e", rounds, primal, dual_residual)
         if primal <= tol and dual_residual <= tol:
             break
     w_half = w_half / scale
     final = sc.broadcast(w_half)
-    fit = both.sum_blocks(lambda ids, x: np.array([[loss_value(loss, x[:, :d] @ final.value, x[:, d:])]]), (1, 1)).to_numpy()[0, 0]
+
+    def fit_of(ids, x):
+        zi, t = split(ids, x)
+        return np.array([[loss_value(loss, zi @ final.value, t)]])
+
+    fit = both.sum_local(fit_of, (1, 1))[0, 0]
+    log.info("admm: %d rounds, primal %.3e, dual %.3e", rounds, primal, dual_residual)
     return AdmmResult(w_half, rounds, primal, dual_residual, float(fit) + regularizer_value(regularizer, lam, w_half))
 
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from ..frame import MatrixFrame
+from ..plans.registry import operator
 
 SEED = 7
 
+log = logging.getLogger(__name__)
+
 
 def uniform(ids: np.ndarray, seed: int, salt: int = 0) -> np.ndarray:
     """Numbers in [0, 1) that depend on the seed and the row alone."""
@@ -27,6 +31,22 @@ def squared_distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.stack([((x - c) ** 2).sum(axis=1) for c in centers], axis=1)
 
 
+def nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of every row, the lowest number on ties, and its squared distance.
+
+    A product ranks the centres; rows whose best two are closer than rounding could tell are ranked again by
+    differences, and so are all distances that are given back."""
+    xx, cc = (x * x).sum(axis=1), (centers * centers).sum(axis=1)
+    rank = cc - 2 * (x @ centers.T)
+    c = rank.argmin(axis=1)
+    if len(centers) > 1:
+        two = np.partition(rank, 1, axis=1)[:, :2]
+        near = two[:, 1] - two[:, 0] <= 16 * x.shape[1] * np.finfo(float).eps * (xx + cc.max())
+        if near.any():
+            c[near] = squared_distances(x[near], centers).argmin(axis=1)
+    return c, ((x - centers[c]) ** 2).sum(axis=1)
+
+
 @dataclass
 class KMeansResult:
     centers: np.ndarray
@@ -35,10 +55,11 @@ class KMeansResult:
     objective: float
 
 
+@operator("nearest_center")
 def assign(a: MatrixFrame, centers: np.ndarray) -> MatrixFrame:
     """The nearest centre of every row, an n x 1 matrix; the lowest number wins ties."""
     shared = a.spark.sparkContext.broadcast(np.asarray(centers, dtype=float))
-    return a.map_blocks(lambda ids, x: squared_distances(x, shared.value).argmin(axis=1)[:, None], 1)
+    return a.map_blocks(lambda ids, x: nearest(x, shared.value)[0][:, None], 1)
 
 
 def cluster_ids(assignments: MatrixFrame):
@@ -52,17 +73,17 @@ def step(a: MatrixFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, f
     shared = a.spark.sparkContext.broadcast(centers)
 
     def block(ids, x):
-        d2 = squared_distances(x, shared.value)
-        c = d2.argmin(axis=1)
+        c, d2 = nearest(x, shared.value)
         out = np.zeros((k, d + 2))
-        np.add.at(out[:, :d], c, x)
+        order = np.argsort(c, kind="stable")
+        some, start = np.unique(c[order], return_index=True)
+        out[some, :d] = np.add.reduceat(x[order], start, axis=0)
         out[:, d] = np.bincount(c, minlength=k)
-        out[:, d + 1] = np.bincount(c, d2[np.arange(len(c)), c], minlength=k)
+        out[:, d + 1] = np.bincount(c, d2, minlength=k)
         return out
 
-    total = a.sum_blocks(block, (k, d + 2)).to_numpy()
-    if not len(total):
-        total = np.zeros((k, d + 2))
+    total = a.sum_local(block, (k, d + 2))
+    shared.unpersist()
     return total[:, :d], total[:, d], float(total[:, d + 1].sum())
 
 
@@ -89,7 +110,7 @@ def initial_centers(a: MatrixFrame, k: int, init: str = "k-means||", init_steps:
 
         def drawn(ids, x, s=s, shared=shared):
             c, z = shared.value
-            d2 = squared_distances(x, c).min(axis=1)
+            d2 = nearest(x, c)[1]
             chosen = uniform(ids, seed, s + 1) < 2 * k * d2 / z
             return np.column_stack([chosen, x])
 
@@ -138,7 +159,9 @@ def kmeans(
         raise ValueError("k-means needs a row and a cluster at least")
     if stop_rule not in ("all", "any"):
         raise ValueError("stop_rule is 'all' or 'any'")
-    a.persist()
+    kept = a.df.storageLevel.useMemory or a.df.storageLevel.useDisk  # the caller's own, and left as it is
+    if not kept:
+        a.df.persist()
     try:
         c = initial_centers(a, k, init, init_steps, seed) if centers is None else np.array(centers, dtype=float)
         rng = np.random.default_rng(seed + 1)
@@ -152,9 +175,12 @@ def kmeans(
             moved = np.sqrt(((new - c) ** 2).sum(axis=1))
             c = new
             done += 1
+            log.debug("k-means round %d: centres moved by %.3e at most, %d empty", done, moved.max(), len(empty))
             if not (len(empty) and a.n_rows > len(c)) and (moved.max() if stop_rule == "all" else moved.min()) <= epsilon:
                 break
         objective = step(a, c)[2]
+        log.info("k-means: %d rounds, objective %.6g", done, objective)
     finally:
-        a.unpersist()
+        if not kept:
+            a.df.unpersist()
     return KMeansResult(c, assign(a, c), done, objective)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..frame import MatrixFrame
 from ..plans import physical
 from ..plans.expr import as_expr
+from ..plans.registry import operator
 
 #: Columns of less variance than this are left unscaled.
 LEAST_VARIANCE = 1e-5
@@ -19,10 +20,12 @@ def matmul(a: MatrixFrame, b: MatrixFrame, strategy: str | None = None) -> Matri
     return (as_expr(a) @ b).frame(strategy)
 
 
+@operator("transpose")
 def transpose(a: MatrixFrame) -> MatrixFrame:
     return as_expr(a).T.frame()
 
 
+@operator("gram")
 def gram(a: MatrixFrame) -> MatrixFrame:
     """AᵀA, as one scan of summed partial products."""
     return physical.gram(a)
@@ -35,10 +38,7 @@ def _local_column(values, n: int, what: str) -> np.ndarray:
     return v
 
 
-def _literal(v: np.ndarray):
-    return F.array(*[F.lit(float(x)) for x in v])
-
-
+@operator("matvec")
 def matvec(a: MatrixFrame, x) -> MatrixFrame:
     """A·x for a local vector, as an n x 1 matrix."""
     return physical.times_local(a, _local_column(x, a.n_cols, "the vector")[:, None])
@@ -47,7 +47,7 @@ def matvec(a: MatrixFrame, x) -> MatrixFrame:
 def atax(a: MatrixFrame, x) -> np.ndarray:
     """Aᵀ(A·x) for a local vector, in one pass and without AᵀA."""
     x = _local_column(x, a.n_cols, "the vector")
-    return a.sum_blocks(lambda ids, b: (b.T @ (b @ x))[None], (1, a.n_cols)).to_numpy()[0]
+    return a.sum_local(lambda ids, b: (b.T @ (b @ x))[None], (1, a.n_cols))[0]
 
 
 def dot(values):
@@ -64,6 +64,7 @@ def frobenius_norm(a: MatrixFrame) -> float:
     return float(np.sqrt(squared_norm(a).first()[0]))
 
 
+@operator("replicate_columns")
 def replicate_columns(a: MatrixFrame, times: int) -> MatrixFrame:
     """Column j of the result is column j modulo the width of A; ``times`` as wide."""
     if times < 1:
@@ -71,9 +72,10 @@ def replicate_columns(a: MatrixFrame, times: int) -> MatrixFrame:
     return a.map_rows(F.flatten(F.array_repeat("features", times)), a.n_cols * times)
 
 
+@operator("scale_columns")
 def scale_columns(a: MatrixFrame, factors) -> MatrixFrame:
     """A·diag(factors)."""
-    f = _literal(_local_column(factors, a.n_cols, "the diagonal"))
+    f = F.lit(_local_column(factors, a.n_cols, "the diagonal"))  # one literal, however many columns
     return a.map_rows(F.zip_with("features", f, lambda x, y: x * y), a.n_cols)
 
 
@@ -102,10 +104,9 @@ def axpy(alpha: float, x: MatrixFrame, y: MatrixFrame) -> MatrixFrame:
 
 def rank_one_update(a: MatrixFrame, alpha: float, u: MatrixFrame, v) -> MatrixFrame:
     """A + alpha·u·vᵀ for an n x 1 matrix u and a local vector v."""
-    row = _literal(alpha * _local_column(v, a.n_cols, "the row vector"))
-    f = u.df.select("row_id", F.element_at("features", 1).alias("factor"))
-    df = a.df.join(f, "row_id").select("row_id", F.zip_with("features", row, lambda x, y: x + F.col("factor") * y).alias("features"))
-    return MatrixFrame(df, *a.dims())
+    row = a.spark.sparkContext.broadcast(alpha * _local_column(v, a.n_cols, "the row vector"))
+    f = MatrixFrame(u.df.select("row_id", F.slice("features", 1, 1).alias("features")), u.n_rows, 1)
+    return a.beside(f).map_blocks(lambda ids, x: x[:, :-1] + x[:, -1:] * row.value, a.n_cols)
 
 
 def column_stats(a: MatrixFrame) -> DataFrame:
@@ -131,11 +132,12 @@ def moments(a: MatrixFrame) -> tuple[np.ndarray, np.ndarray]:
     n = a.n_rows
     if not n:
         return np.zeros(a.n_cols), np.zeros(a.n_cols)
-    mean = a.sum_blocks(lambda ids, x: x.sum(axis=0)[None], (1, a.n_cols)).to_numpy()[0] / n
-    spread = a.sum_blocks(lambda ids, x: ((x - mean) ** 2).sum(axis=0)[None], (1, a.n_cols)).to_numpy()[0] / n
+    mean = a.sum_local(lambda ids, x: x.sum(axis=0)[None], (1, a.n_cols))[0] / n
+    spread = a.sum_local(lambda ids, x: ((x - mean) ** 2).sum(axis=0)[None], (1, a.n_cols))[0] / n
     return mean, spread
 
 
+@operator("normalize_columns")
 def normalize_columns(a: MatrixFrame, least_variance: float = LEAST_VARIANCE) -> MatrixFrame:
     """Columns of mean 0 and population deviation 1; those of less variance are only centred."""
     mean, variance = moments(a)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 
 from ..frame import LOCAL_BYTES, MatrixFrame
 from ..plans import physical
 from .linalg import atax
 
+log = logging.getLogger(__name__)
+
 #: Components under this share of the largest singular value are dropped.
 RCOND = 1e-9
 
@@ -72,8 +76,8 @@ def truncated_svd(
 def lanczos(times, n: int, k: int, seed: int = 0, tol: float = 1e-12, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The ``k`` largest eigenpairs of a symmetric operator, fully reorthogonalised. A Krylov space has one
     direction of each repeated eigenvalue, so after convergence a new direction is drawn and followed for
-    as many steps, until that no longer changes what is found."""
-    most = min(n, most or 4 * k + 120)
+    as many steps, until that no longer changes what is found. Ends with an error if that takes more than ``most`` steps."""
+    most = min(n, most or 10 * k + 500)
     rng = np.random.default_rng(seed)
     q = np.zeros((n, 0))
     t = np.zeros((most, most))
@@ -97,9 +101,12 @@ def lanczos(times, n: int, k: int, seed: int = 0, tol: float = 1e-12, most: int
             order = np.argsort(-w)[:k]
             rest = x - q @ (q.T @ x)
             error = np.linalg.norm(rest) * np.abs(z[j, order])
+            log.debug("lanczos step %d: error %.3e", j + 1, error.max(initial=0))
             values, vectors = w[order], q @ z[:, order]
             if j >= until and (error <= tol * max(abs(w).max(), 1e-300)).all():
                 if before is not None and np.allclose(values, before, rtol=1e-9, atol=1e-9 * abs(w).max()):
-                    break
+                    return values, vectors
                 before, x, until = values, rng.normal(size=n), 2 * (j + 1)
+    if most < n:
+        raise RuntimeError(f"{k} eigenpairs didn't converge in {most} Lanczos steps")
     return values, vectors

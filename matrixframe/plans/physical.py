@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import LOCAL_BYTES, LONGEST_ROW, MatrixFrame, batch_of, block_of
+from ..frame import FAN, LOCAL_BYTES, LONGEST_ROW, MatrixFrame, batch_of, block_of, partitions_of
 
 BLOCK = 1024
 BLOCK_SCHEMA = "bi int, bj int, nr int, nc int, data array<double>"
+INNER_SCHEMA = f"{BLOCK_SCHEMA}, bk int"
 
 
 def matmul(a: MatrixFrame, b: MatrixFrame, strategy: str | None = None, local_bytes: int = LOCAL_BYTES) -> MatrixFrame:
@@ -74,9 +75,19 @@ def coo_product(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def gram(a: MatrixFrame) -> MatrixFrame:
-    """AᵀA by summed partial products: one scan, and a shuffle of one n x n sum a task."""
+    """AᵀA by summed partial products: one scan, and a shuffle of one n x n sum a task; past ``LOCAL_BYTES``, a panel at a time."""
     n = a.n_cols
-    return a.sum_blocks(lambda ids, x: x.T @ x, (n, n))
+    wide = max(1, LOCAL_BYTES // max(1, 8 * n))
+    if wide >= n:
+        return a.sum_blocks(lambda ids, x: x.T @ x, (n, n))
+    # a task holds one panel of the sum's rows; each panel is a scan
+    rows = None
+    for s in range(0, n, wide):
+        e = min(n, s + wide)
+        panel = a.sum_blocks(lambda ids, x, s=s, e=e: x[:, s:e].T @ x, (e - s, n)).df
+        panel = panel.select((F.col("row_id") + s).alias("row_id"), "features")
+        rows = panel if rows is None else rows.unionByName(panel)
+    return MatrixFrame(rows, n, n)
 
 
 def gram_coo(cells: DataFrame) -> DataFrame:
@@ -88,12 +99,8 @@ def gram_coo(cells: DataFrame) -> DataFrame:
 
 
 def side_by_side(a: MatrixFrame, b: MatrixFrame) -> MatrixFrame:
-    """[A | B] by a join on the row id."""
-    if a.n_rows != b.n_rows:
-        raise ValueError(f"matrices of {a.n_rows} and {b.n_rows} rows can't stand side by side")
-    right = b.df.select("row_id", F.col("features").alias("right"))
-    joined = a.df.join(right, "row_id").select("row_id", F.concat("features", "right").alias("features"))
-    return MatrixFrame(joined, a.n_rows, a.n_cols + b.n_cols)
+    """[A | B] by a join on the row id, of the rows that A's blocks are computed from if those are narrower."""
+    return a.beside(b)
 
 
 def cross_product(a: MatrixFrame, b: MatrixFrame) -> MatrixFrame:
@@ -149,6 +156,10 @@ def to_blocks(a: MatrixFrame, size: int = BLOCK) -> DataFrame:
     return parts.groupBy("bi", "bj").applyInArrow(whole, BLOCK_SCHEMA)
 
 
+def _inner_table(bi: int, bj: int, bk: int, block: np.ndarray) -> pa.Table:
+    return _block_table(bi, bj, block).append_column("bk", pa.array([bk], pa.int32()))
+
+
 def _block_table(bi: int, bj: int, block: np.ndarray) -> pa.Table:
     ints = [pa.array([v], pa.int32()) for v in (bi, bj, *block.shape)]
     return pa.table([*ints, pa.array([block.ravel()], pa.list_(pa.float64()))], names=["bi", "bj", "nr", "nc", "data"])
@@ -172,31 +183,43 @@ def _block_product(a: MatrixFrame, b: MatrixFrame, size: int | None = None) -> M
     size = size or BLOCK
     left = to_blocks(a, size).select("bi", F.col("bj").alias("bk"), F.col("nr"), F.col("nc").alias("inner"), F.col("data").alias("x"))
     right = to_blocks(b, size).select(F.col("bi").alias("bk"), "bj", "nc", F.col("data").alias("y"))
-    pairs = left.join(right, "bk").select("bi", "bj", "nr", "inner", "nc", "x", "y")
+    pairs = left.join(right, "bk").select("bi", "bj", "bk", "nr", "inner", "nc", "x", "y")
 
     def multiply(batches):
         for batch in batches:
             for s in range(batch.num_rows):
-                bi, bj, nr, inner, nc = (batch.column(c)[s].as_py() for c in range(5))
-                x, y = (batch.column(c)[s].values.to_numpy() for c in (5, 6))
-                yield _block_table(bi, bj, x.reshape(nr, inner) @ y.reshape(inner, nc)).to_batches()[0]
+                bi, bj, bk, nr, inner, nc = (batch.column(c)[s].as_py() for c in range(6))
+                x, y = (batch.column(c)[s].values.to_numpy() for c in (6, 7))
+                yield _inner_table(bi, bj, bk, x.reshape(nr, inner) @ y.reshape(inner, nc)).to_batches()[0]
 
     def add(table: pa.Table) -> pa.Table:
         nr, nc = table.column("nr")[0].as_py(), table.column("nc")[0].as_py()
         total = np.zeros(nr * nc)
         for data in table.column("data"):
             total += data.values.to_numpy()
-        return _block_table(table.column("bi")[0].as_py(), table.column("bj")[0].as_py(), total.reshape(nr, nc))
+        bi, bj, bk = (table.column(c)[0].as_py() for c in ("bi", "bj", "bk"))
+        return _inner_table(bi, bj, bk // FAN, total.reshape(nr, nc))
+
+    products = pairs.mapInArrow(multiply, INNER_SCHEMA)
+    inner = -(-a.n_cols // size)
+    while True:  # at most FAN partial products of a block meet in one task
+        products = products.groupBy("bi", "bj", (F.col("bk") / FAN).cast("int")).applyInArrow(add, INNER_SCHEMA)
+        inner = -(-inner // FAN)
+        if inner <= 1:
+            break
+    return from_blocks(products.drop("bk"), a.n_rows, b.n_cols, size)
+
 
-    summed = pairs.mapInArrow(multiply, BLOCK_SCHEMA).groupBy("bi", "bj").applyInArrow(add, BLOCK_SCHEMA)
-    return from_blocks(summed, a.n_rows, b.n_cols, size)
+def triangle_fits(n: int, fan: int = 16) -> bool:
+    """Whether ``fan`` triangles of n columns may meet in one task."""
+    return 8 * n * n * fan <= 4 * LOCAL_BYTES
 
 
 def tsqr(a: MatrixFrame, fan: int = 16) -> np.ndarray:
     """R of A = QR. Tasks reduce their rows to one triangle; triangles are merged ``fan`` at a time on the
     executors until few enough are left for the driver."""
     n = a.n_cols
-    if 8 * n * n * fan > 4 * LOCAL_BYTES:
+    if not triangle_fits(n, fan):
         raise ValueError(f"{n} columns are too many for triangles of {n} x {n}")
 
     def triangle(batches):
@@ -214,7 +237,7 @@ def tsqr(a: MatrixFrame, fan: int = 16) -> np.ndarray:
         r = np.linalg.qr(np.vstack([block_of(b)[1] for b in table.to_batches() if b.num_rows]), mode="r")
         return pa.Table.from_batches([batch_of(np.full(len(r), key), r)])
 
-    parts = a.df.rdd.getNumPartitions()
+    parts = partitions_of(a.df)
     df = a.df.mapInArrow(triangle, "row_id long, features array<double>")
     while parts > fan:
         df = df.groupBy((F.col("row_id") / fan).cast("long")).applyInArrow(merge, "row_id long, features array<double>")

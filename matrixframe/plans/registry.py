@@ -1,4 +1,4 @@
-"""A small registry, so that operators can be added without touching the engine."""
+"""A small registry: the engine's operators by name, and room for others without touching the engine."""
 
 from __future__ import annotations
 

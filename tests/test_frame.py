@@ -137,6 +137,12 @@ def test_long_transposes_are_refused(spark, monkeypatch):
         physical.transposed(mat(spark, np.zeros((4, 2))))
 
 
+def test_pretty_shows_a_corner(spark):
+    x = np.array([[1.5, -2.0, 1e-11], [0.25, 3.0, 4.0]])
+    assert mat(spark, x).pretty().split() == ["1.5", "0", "0", "0.25", "3", "4"]
+    assert mat(spark, x).pretty(1, 2).splitlines()[1] == "... 2 x 3"
+
+
 def test_local_limits(spark):
     with pytest.raises(ValueError, match="gathered"):
         mat(spark, np.zeros((4, 2))).local(8)
@@ -148,6 +154,8 @@ def test_registry(spark):
         return la.scale_columns(a, np.full(a.n_cols, 2.0))
 
     assert np.allclose(registry.apply("twice", mat(spark, np.ones((2, 2)))).to_numpy(), 2)
+    assert {"gram", "transpose", "rbf_features", "nearest_center"} <= set(registry.names())
+    assert np.allclose(registry.apply("gram", mat(spark, np.ones((2, 2)))).to_numpy(), 2)
     with pytest.raises(KeyError):
         registry.apply("thrice", None)
     with pytest.raises(ValueError):
