@@ -6,11 +6,13 @@ Results are cells or scalars, rounded alike on both sides, so that the order of
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frame import MatrixFrame
+from .frame import MatrixFrame, shared_folder
 from .functions import kernels, metrics, prep
 from .functions.losses import Loss, Regularizer
 from .operators import admm as admm_
@@ -19,7 +21,7 @@ from .operators import linalg as la
 from .operators import solvers, svd
 from .plans import physical
 from .sources import synthetic
-from .sources.readers import parse_libsvm_line
+from .sources.readers import parse_libsvm_line, read_csv, read_libsvm, read_parquet, write_label_pairs, write_parquet
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +31,28 @@ CELLS = """cells AS (SELECT vec_id AS row_id, CAST(i - 1 AS BIGINT) AS col_id, C
 SCALED = "l_quantity / 50 AS q, l_extendedprice / 100000 AS p, l_discount * 10 AS d, l_tax * 10 AS t"
 
 
+def solved(name: str, width: str) -> str:
+    """CTEs that eliminate, from ``{name}(i, l)``, rows of a square matrix and right-hand sides behind it, all but
+    those sides: ``{name}_x(i, l)``. The matrix is positive definite, so rows needn't be exchanged."""
+    return f"""{name}_n AS (SELECT {width} AS n),
+  {name}_0 AS (SELECT list(l ORDER BY i) AS m FROM {name}),
+  {name}_g AS (SELECT CAST(1 AS BIGINT) AS k, m, m[1] AS p FROM {name}_0 UNION ALL
+    SELECT k + 1, nm, nm[k + 1] FROM (SELECT k, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(p, lambda x: x / p[k])
+      ELSE list_transform(list_zip(r, p), lambda z: z[1] - z[2] * (r[k] / p[k])) END) AS nm FROM {name}_g WHERE k <= {width})),
+  {name}_x AS (SELECT i, m[i][{width} + 1:] AS l FROM {name}_g, range(1, {width} + 1) t(i) WHERE k = {width} + 1)"""
+
+
+def weights(w: np.ndarray, phase: np.ndarray | None = None) -> str:
+    """A CTE ``w(k, w, phase)``: the rows of a feature map's seeded weights, which SQL can't draw."""
+    phase = np.zeros(len(w)) if phase is None else phase
+    rows = ", ".join(f"({k}, [{', '.join(map(repr, map(float, r)))}], {float(p)!r})" for k, (r, p) in enumerate(zip(w, phase, strict=True)))
+    return f"w AS (SELECT CAST(k AS BIGINT) AS k, CAST(w AS DOUBLE[]) AS w, CAST(phase AS DOUBLE) AS phase FROM (VALUES {rows}) t(k, w, phase))"
+
+
+def cosines(n: int, sigma: str = "1.0", of: str = "CAST(embedding AS DOUBLE[])") -> str:
+    return f"sqrt(2.0 / {n}) * cos(list_dot_product({of}, w) / {sigma} + phase)"
+
+
 def query(oracle: str | None = None):
     def register(fn):
         QUERIES[fn.__name__] = fn
@@ -250,10 +274,15 @@ def row_index(spark, sf_dir):
     return prep.index_rows(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal", "c_custkey"]).select("c_custkey", "row_id")
 
 
-@query("SELECT count(*) AS n, count(*) AS ids, CAST(0 AS BIGINT) AS lo, count(*) - 1 AS hi FROM customer")
+@query("SELECT count(*) AS n, count(*) AS ids, CAST(0 AS BIGINT) AS lo, count(*) - 1 AS hi, true AS moved, true AS mixed FROM customer")
 def permute_rows(spark, sf_dir):
+    """Every number once, hardly a row where it was, and no trend from old places to new ones."""
     p = prep.permute_rows(table(spark, sf_dir, "customer").select("c_custkey"), 3)
-    return p.agg(F.count("row_id").alias("n"), F.countDistinct("row_id").alias("ids"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi"))
+    same = F.avg((F.col("row_id") == F.col("c_custkey") - 1).cast("double"))
+    return p.agg(
+        F.count("row_id").alias("n"), F.countDistinct("row_id").alias("ids"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi"),
+        (same < 0.1).alias("moved"), (F.abs(F.corr("row_id", "c_custkey")) < 0.3).alias("mixed"),
+    )
 
 
 @query("SELECT CAST(label AS BIGINT) AS label, count(*) AS n FROM embeddings GROUP BY label")
@@ -262,7 +291,7 @@ def label_histogram(spark, sf_dir):
 
 
 @query(f"""WITH {CELLS} SELECT round(sqrt(avg(d2)), 6) AS sigma FROM (SELECT a.row_id, b.row_id, sum((a.value - b.value) ** 2) AS d2
-  FROM cells a JOIN cells b USING (col_id) WHERE a.row_id < 500 AND b.row_id < 500 GROUP BY a.row_id, b.row_id)""")
+  FROM cells a JOIN cells b USING (col_id) GROUP BY a.row_id, b.row_id)""")
 def sigma_estimate(spark, sf_dir):
     return row(spark, sigma=round(kernels.estimate_sigma(embeddings(spark, sf_dir)), 6))
 
@@ -353,26 +382,69 @@ def kmeans_parallel(spark, sf_dir):
     return metrics.cluster_sizes(km.cluster_ids(found.assignments), "cluster")
 
 
+@query("SELECT CAST(label AS BIGINT) AS label, count(*) AS n, CAST(1 AS BIGINT) AS clusters FROM embeddings GROUP BY label")
+def kmeans_planted(spark, sf_dir):
+    """k-means|| on rows moved apart by label: each label is one cluster, whatever its number."""
+    e = embeddings(spark, sf_dir)
+    y = MatrixFrame(labels(spark, sf_dir).select("row_id", prep.one_hot(F.col("label"), 10).alias("features")), e.n_rows, 10)
+    apart = e.beside(y).map_blocks(lambda ids, x: np.column_stack([x[:, :64], 40 * x[:, 64:]]), 74)
+    found = km.kmeans(apart, 10)
+    both = km.cluster_ids(found.assignments).join(labels(spark, sf_dir), "row_id")
+    sizes = both.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("n")).groupBy("label")
+    return sizes.agg(F.sum("n").alias("n"), F.countDistinct("cluster").alias("clusters"))
+
+
 # -- least squares
 
 
+def _columns(spark, sf_dir, *sides: tuple[int, ...]) -> list[MatrixFrame]:
+    """Columns of lineitem as matrices over the same rows, which are numbered once and written, so that joins by
+    row meet however the scans split."""
+    both = lineitem(spark, sf_dir).checkpoint()
+    n = both.n_rows
+    return [MatrixFrame(both.df.select("row_id", F.array(*[F.element_at("features", i) for i in at]).alias("features")), n, len(at)) for at in sides]
+
+
 @query("""WITH l AS (SELECT l_quantity / 50 AS x, l_extendedprice / 100000 AS y FROM lineitem)
   SELECT round(sum(x * y) / (sum(x * x) + 0.01 * count(*)), 8) AS w FROM l""")
 def ridge_1d(spark, sf_dir):
-    both = lineitem(spark, sf_dir)
-    x, y = (MatrixFrame(both.df.select("row_id", F.array(F.element_at("features", i)).alias("features"))) for i in (1, 2))
+    x, y = _columns(spark, sf_dir, (1,), (2,))
     return row(spark, w=round(float(solvers.ridge_cg(x, y, 0.01)[0, 0]), 8))
 
 
+_NORMAL = f"""WITH RECURSIVE {CELLS}, g AS (SELECT a.col_id AS i, b.col_id AS j, sum(a.value * b.value) AS v
+    FROM cells a JOIN cells b USING (row_id) GROUP BY a.col_id, b.col_id),
+  b AS (SELECT col_id AS i, sum(value * label) AS v, sum(value * label * label) AS v2 FROM cells JOIN embeddings ON row_id = vec_id GROUP BY col_id),
+  s AS (SELECT g.i, list(g.v ORDER BY j) || [any_value(b.v), any_value(b.v2)] AS l FROM g JOIN b USING (i) GROUP BY g.i),
+  {solved("s", "64")}
+  SELECT CAST(i - 1 AS BIGINT) AS row_id, CAST(c - 1 AS BIGINT) AS col_id, round(l[c], 6) + 0.0 AS value FROM s_x, range(1, 3) t(c)"""
+
+
+def _label_powers(spark, sf_dir) -> MatrixFrame:
+    return label_matrix(spark, sf_dir).map_rows(F.transform(F.array(F.lit(1), F.lit(2)), lambda k: F.pow(F.element_at("features", 1), k)), 2)
+
+
+@query(_NORMAL)
+def lsqr_embeddings(spark, sf_dir):
+    """Two right-hand sides over all 64 columns, by the triangle of one pass."""
+    e = embeddings(spark, sf_dir)
+    return cells(MatrixFrame.from_numpy(spark, solvers.lsqr(e, _label_powers(spark, sf_dir), max_iters=200)))
+
+
+@query(_NORMAL)
+def lsqr_by_rows(spark, sf_dir):
+    """The same by one pass over the rows a step, as where no triangle fits."""
+    e = embeddings(spark, sf_dir)
+    return cells(MatrixFrame.from_numpy(spark, solvers.lsqr(e, _label_powers(spark, sf_dir), tol=1e-13, triangle_bytes=0)))
+
+
 _TWO = """WITH l AS (SELECT l_quantity / 50 AS a, l_discount * 10 AS b, l_extendedprice / 100000 AS y FROM lineitem),
   s AS (SELECT sum(a * a) + {r} AS aa, sum(a * b) AS ab, sum(b * b) + {r} AS bb, sum(a * y) AS ay, sum(b * y) AS yb FROM l)
   SELECT round((ay * bb - yb * ab) / (aa * bb - ab * ab), 8) AS w1, round((aa * yb - ab * ay) / (aa * bb - ab * ab), 8) AS w2 FROM s"""
 
 
 def _two(spark, sf_dir):
-    both = lineitem(spark, sf_dir)
-    part = lambda *at: MatrixFrame(both.df.select("row_id", F.array(*[F.element_at("features", i) for i in at]).alias("features")))
-    return part(1, 3), part(2)
+    return _columns(spark, sf_dir, (1, 3), (2,))
 
 
 @query(_TWO.format(r="0.01 * count(*)"))
@@ -415,6 +487,35 @@ def admm_squared_l2(spark, sf_dir):
     return row(spark, w1=round(float(w[0]), 6), w2=round(float(w[1]), 6))
 
 
+@query("""WITH l AS (SELECT l_quantity / 50 AS x, l_extendedprice / 100000 AS y FROM lineitem),
+  s AS (SELECT sum(x * x) AS xx, sum(x * y) AS xy, 0.05 * count(*) AS t FROM l)
+  SELECT round(sign(xy) * greatest(abs(xy) - t, 0) / xx, 6) + 0.0 AS w FROM s""")
+def admm_squared_l1(spark, sf_dir):
+    """One feature under an L1 penalty has the soft threshold as its solution."""
+    a, y = _columns(spark, sf_dir, (1,), (2,))
+    found = admm_.admm(a, y, True, Loss.SQUARED, Regularizer.L1, lam=0.05 * a.n_rows, max_iters=80, tol=1e-11, rho=0.3)
+    return row(spark, w=round(float(found.coefficients[0, 0]), 6))
+
+
+@query("""WITH n AS (SELECT count(*)::DOUBLE AS n FROM embeddings), c AS (SELECT label, count(*)::DOUBLE AS c FROM embeddings GROUP BY label)
+  SELECT CAST(row_number() OVER (ORDER BY label) - 1 AS BIGINT) AS col_id, round(ln(c / (n - c)), 5) AS value FROM c, n""")
+def admm_logistic_classes(spark, sf_dir):
+    """A constant feature, each class against all others: the log odds of the classes."""
+    y = label_matrix(spark, sf_dir)
+    one = y.map_rows(F.array(F.lit(1.0)), 1)
+    found = admm_.admm(one, y, False, Loss.LOGISTIC, Regularizer.NOREG, max_iters=80, tol=1e-10, rho=0.2)
+    return cells(MatrixFrame.from_numpy(spark, found.coefficients), digits=5).select("col_id", "value")
+
+
+@query("SELECT CASE WHEN 2 * count(*) FILTER (label < 3) > count(*) THEN 1.0 ELSE -1.0 END::DOUBLE AS w FROM embeddings")
+def admm_hinge_constant(spark, sf_dir):
+    """A constant feature: the hinge loss is least at the margin of the more frequent class."""
+    y = label_matrix(spark, sf_dir).map_rows(F.transform("features", lambda v: F.when(v < 3, 1.0).otherwise(0.0)), 1)
+    one = y.map_rows(F.array(F.lit(1.0)), 1)
+    found = admm_.admm(one, y, False, Loss.HINGE, Regularizer.NOREG, max_iters=80, tol=1e-10)
+    return row(spark, w=round(float(found.coefficients[0, 0]), 5))
+
+
 @query()
 def admm_hinge_l1(spark, sf_dir):
     """A sparse linear separator of label 0 from the rest: its nonzero coefficients."""
@@ -444,6 +545,52 @@ def svd_reconstruction_error(spark, sf_dir):
     return la.squared_norm(la.axpy(-1.0, e, back)).select((F.round(F.sqrt("squared_norm"), 6) + 0.0).alias("error"))
 
 
+@query(f"WITH {CELLS} SELECT row_id, col_id, round(value, 6) + 0.0 AS value FROM cells")
+def svd_reconstruction(spark, sf_dir):
+    """U·Σ·Vᵀ by all components of the truncated decomposition gives the matrix back, cell by cell."""
+    u, s, v = svd.truncated_svd(embeddings(spark, sf_dir), 64)
+    return cells(physical.times_local(u, (v * s).T))
+
+
+_POWERS = f"""WITH {CELLS}, g AS (SELECT a.col_id AS i, b.col_id AS j, sum(a.value * b.value) AS v
+    FROM cells a JOIN cells b USING (row_id) GROUP BY a.col_id, b.col_id),
+  g2 AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM g a JOIN g b ON a.j = b.i GROUP BY a.i, b.j)
+  SELECT round((SELECT sum(v) FROM g WHERE i = j), 5) AS p1, round((SELECT sum(v) FROM g2 WHERE i = j), 4) AS p2,
+    round((SELECT sum(g2.v * g.v) FROM g2 JOIN g ON g2.j = g.i AND g2.i = g.j), 3) AS p3"""
+
+
+def _power_sums(spark, s: np.ndarray) -> DataFrame:
+    return row(spark, **{f"p{k}": round(float((s ** (2 * k)).sum()), 6 - k) for k in (1, 2, 3)})
+
+
+@query(_POWERS)
+def spectrum_by_gram(spark, sf_dir):
+    """Sums of powers of all singular values are traces of powers of AᵀA."""
+    return _power_sums(spark, svd.truncated_svd(embeddings(spark, sf_dir), 64, method=1)[1])
+
+
+@query(_POWERS)
+def spectrum_by_lanczos(spark, sf_dir):
+    return _power_sums(spark, svd.truncated_svd(embeddings(spark, sf_dir), 64, method=0)[1])
+
+
+def _squared(times: int) -> str:
+    """AᵀA over its trace, squared again and again, has all its weight on the largest singular direction."""
+    parts = [f"{CELLS}, g AS (SELECT a.col_id AS i, b.col_id AS j, sum(a.value * b.value) AS v FROM cells a JOIN cells b USING (row_id) GROUP BY a.col_id, b.col_id)",
+             "q0 AS (SELECT i, j, v / (SELECT sum(v) FROM g WHERE i = j) AS v FROM g)"]
+    for t in range(times):
+        parts.append(f"r{t} AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM q{t} a JOIN q{t} b ON a.j = b.i GROUP BY a.i, b.j)")
+        parts.append(f"q{t + 1} AS (SELECT i, j, v / (SELECT sum(v) FROM r{t} WHERE i = j) AS v FROM r{t})")
+    return "WITH " + ",\n  ".join(parts) + f" SELECT round(sqrt(sum(q.v * g.v)), 6) AS norm FROM q{times} q JOIN g ON q.j = g.i AND q.i = g.j"
+
+
+@query(_squared(14))
+def spectral_norm(spark, sf_dir):
+    """The largest singular value, the last of 20 by Lanczos."""
+    s = svd.truncated_svd(embeddings(spark, sf_dir), 20, method=0)[1]
+    return row(spark, norm=round(float(s[-1]), 6))
+
+
 _SVD2 = """WITH l AS (SELECT l_quantity / 50 AS a, l_extendedprice / 100000 AS b FROM lineitem),
   s AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb FROM l),
   e AS (SELECT (aa + bb) / 2 AS m, sqrt(((aa - bb) / 2) ** 2 + ab * ab) AS r FROM s)
@@ -480,28 +627,41 @@ def truncated_spectrum(spark, sf_dir):
     return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(s)], "k long, value double")
 
 
-@query(f"""WITH {CELLS} SELECT 0.0::DOUBLE AS error, round(sum(value * value), 6) AS whole FROM cells""")
+@query(f"""WITH {CELLS} SELECT round(sum(value * value) FILTER (col_id >= 20), 6) AS error,
+  round(sum(value * value) FILTER (col_id >= 20) / sum(value * value), 6) AS share FROM cells""")
 def rank_k_error(spark, sf_dir):
-    """With all 64 directions nothing is left of A."""
-    e = embeddings(spark, sf_dir)
-    error, _ = metrics.rank_k_error(e, svd.thin_svd(e)[2])
-    return row(spark, error=abs(round(error, 6)), whole=round(la.frobenius_norm(e) ** 2, 6))
+    """What 20 orthogonal directions, here axes, leave of A: the squares of its other columns."""
+    error, share = metrics.rank_k_error(embeddings(spark, sf_dir), np.eye(64)[:, :20])
+    return row(spark, error=round(error, 6), share=round(share, 6))
 
 
 # -- kernels
 
 
-@query()
+@query(f"""WITH {weights(*kernels.seeded_gaussian_weights(64, 32, 1.0, kernels.SEED, kernels.SEED + 1))}
+  SELECT vec_id AS row_id, k AS col_id, round({cosines(32)}, 6) + 0.0 AS value FROM embeddings, w""")
 def rff_features(spark, sf_dir):
     return cells(kernels.random_fourier_features(embeddings(spark, sf_dir), 32, 1.0))
 
 
-@query()
+KRR_FEATURES = 256
+
+
+@query(f"""WITH RECURSIVE {CELLS}, {weights(*kernels.seeded_gaussian_weights(64, KRR_FEATURES, 1.0))},
+  sg AS (SELECT sqrt(2 * sum(v)) AS sigma FROM (SELECT var_pop(value) AS v FROM cells GROUP BY col_id)),
+  z AS (SELECT vec_id AS r, label, k, {cosines(KRR_FEATURES, "sigma")} AS z FROM embeddings, w, sg),
+  g AS (SELECT a.k AS i, b.k AS j, sum(a.z * b.z) AS v FROM z a JOIN z b USING (r) GROUP BY a.k, b.k),
+  y AS (SELECT k AS i, list(v ORDER BY c) AS l FROM (SELECT k, c, sum(CASE WHEN label = c THEN z ELSE 0 END) AS v FROM z, range(10) t(c) GROUP BY k, c) GROUP BY k),
+  s AS (SELECT g.i, list(v + CASE WHEN g.i = j THEN 1e-4 * (SELECT count(*) FROM embeddings) ELSE 0 END ORDER BY j) || any_value(y.l) AS l FROM g JOIN y USING (i) GROUP BY g.i),
+  {solved("s", str(KRR_FEATURES))},
+  p AS (SELECT r, any_value(label) AS label, c, sum(z * l[c]) AS v FROM z JOIN s_x ON k = i - 1, range(1, 11) t(c) GROUP BY r, c),
+  best AS (SELECT r, any_value(label) AS label, arg_max(c, v) - 1 AS predicted FROM p GROUP BY r)
+  SELECT avg(CASE WHEN predicted <> label THEN 1.0 ELSE 0.0 END) AS error_rate FROM best""")
 def krr_classification(spark, sf_dir):
     """Flagship: width from the data, random Fourier features, ridge by CG, argmax, error rate on the rows learned from."""
     e, y = embeddings(spark, sf_dir), labels(spark, sf_dir)
-    z = kernels.rbf_features(e, 256, kernels.estimate_sigma(e)).persist()
-    onehot = MatrixFrame(y.select("row_id", prep.one_hot(F.col("label"), 10).alias("features")))
+    z = kernels.rbf_features(e, KRR_FEATURES, kernels.estimate_sigma(e))
+    onehot = MatrixFrame(y.select("row_id", prep.one_hot(F.col("label"), 10).alias("features")), e.n_rows, 10)
     x = solvers.ridge_cg(z, onehot, 1e-4)
     predicted = physical.times_local(z, x).df.select("row_id", prep.argmax(F.col("features")).alias("predicted"))
     return metrics.misclassification(predicted, y)
@@ -520,9 +680,88 @@ def kernel_maps(spark, sf_dir):
     return rounded(out, "mean_square")
 
 
+def _seeded_map_sql() -> str:
+    """Every kernel's map of |E| from its seeded weights: the mean over rows of the squared features."""
+    rng = lambda: np.random.default_rng(kernels.SEED)
+    n = 64
+    maps = {}
+    r = rng()
+    maps["GAUSSIAN"] = weights(kernels.normal_quantile(kernels.halton(n, 64, start=1 + kernels.SEED % 97)), r.uniform(0, 2 * np.pi, n))
+    r = rng()
+    maps["LAPLACIAN"] = weights(r.standard_cauchy((n, 64)), r.uniform(0, 2 * np.pi, n))
+    r = rng()
+    student = r.normal(size=(n, 64)) / np.sqrt(r.chisquare(2.0, (n, 1)) / 2.0)
+    maps["MATERN"] = weights(student, r.uniform(0, 2 * np.pi, n))
+    maps["EXPSEMIGROUP"] = weights(0.5 / np.maximum(rng().normal(size=(n, 64)) ** 2, 1e-300))
+    parts = ["x AS (SELECT vec_id AS r, list_transform(CAST(embedding AS DOUBLE[]), lambda v: abs(v)) AS x FROM embeddings)"]
+    found = []
+    for name, w in maps.items():
+        z = f"exp(-list_dot_product(x, w)) / sqrt({n}.0)" if name == "EXPSEMIGROUP" else cosines(n, "1.0", "x")
+        parts.append(f"{name.lower()}_{w}")
+        found.append(f"SELECT '{name}' AS kernel, r, sum(({z}) ** 2) AS q FROM x, {name.lower()}_w GROUP BY r")
+    cells_ = "SELECT r, i - 1 AS j, x[i] AS v FROM x, range(1, 65) t(i)"
+    table = lambda b, s: "(VALUES " + ", ".join(f"({j}, {int(k)}, {float(v)!r})" for j, (k, v) in enumerate(zip(b, s, strict=True))) + ")"
+    parts.append(f"lin AS (SELECT r, b, sum(v * s::DOUBLE) AS z FROM ({cells_}) JOIN {table(*kernels.count_sketch_table(64, n, kernels.SEED))} t(j, b, s) USING (j) GROUP BY r, b)")
+    found.append("SELECT 'LINEAR' AS kernel, r, sum(z * z) AS q FROM lin GROUP BY r")
+    r = rng()
+    for t in ("one", "two"):
+        parts.append(f"{t} AS (SELECT r, b, v * s::DOUBLE AS v FROM ({cells_}) JOIN {table(r.integers(0, n, 64), r.choice([-1.0, 1.0], 64))} t(j, b, s) USING (j))")
+    parts.append(f"poly AS (SELECT r, (one.b + two.b) % {n} AS b, sum(one.v * two.v) AS z FROM one JOIN two USING (r) GROUP BY 1, 2)")
+    found.append("SELECT 'POLYNOMIAL' AS kernel, r, sum(z * z) AS q FROM poly GROUP BY r")
+    return f"WITH {', '.join(parts)} SELECT kernel, CAST({n} AS INTEGER) AS width, round(avg(q), 6) + 0.0 AS mean_square FROM ({' UNION ALL '.join(found)}) GROUP BY kernel"
+
+
+ORACLES["kernel_maps"] = _seeded_map_sql()
+
+
 # -- sources
 
 
+def _folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_AS_READ = f"WITH {CELLS} SELECT row_id, col_id, value FROM cells"
+
+
+def _read_cells(df: DataFrame, row_id: str = "label") -> DataFrame:
+    out = df.select(F.col(row_id).cast("long").alias("row_id"), F.posexplode("features").alias("col_id", "value"))
+    return out.select("row_id", F.col("col_id").cast("long").alias("col_id"), "value")
+
+
+@query(_AS_READ)
+def libsvm_file(spark, sf_dir):
+    """E in a libsvm file, whose columns count from 1, with the row number as label, and read back."""
+    path = _folder(spark, "libsvm")
+    pairs = F.transform("features", lambda v, j: F.concat_ws(":", (j + 1).cast("string"), v.cast("string")))
+    embeddings(spark, sf_dir).df.select(F.concat_ws(" ", F.col("row_id").cast("string"), F.array_join(pairs, " "))).write.text(path)
+    return _read_cells(read_libsvm(spark, path, 64))
+
+
+@query(_AS_READ)
+def csv_file(spark, sf_dir):
+    """E in a headerless CSV file behind a label that counts from 1, and read back."""
+    path = _folder(spark, "csv")
+    columns = [F.element_at("features", j + 1).alias(f"f{j}") for j in range(64)]
+    embeddings(spark, sf_dir).df.select((F.col("row_id") + 1).alias("label"), *columns).write.csv(path)
+    return _read_cells(read_csv(spark, path, 64))
+
+
+@query(_AS_READ)
+def parquet_file(spark, sf_dir):
+    path = _folder(spark, "parquet")
+    write_parquet(embeddings(spark, sf_dir), path)
+    return read_parquet(spark, path).to_coo()
+
+
+@query(f"WITH {_PRED} SELECT label || ' ' || predicted AS line, count(*) AS n FROM p GROUP BY 1")
+def label_pairs_file(spark, sf_dir):
+    """True and predicted labels as lines of text, read back and counted."""
+    path = _folder(spark, "pairs")
+    write_label_pairs(_predicted(spark, sf_dir).join(labels(spark, sf_dir), "row_id"), path, "label", "predicted")
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"WITH {CELLS} SELECT row_id, CAST(label AS INTEGER) AS label, col_id, value FROM cells JOIN embeddings ON row_id = vec_id")
 def libsvm_lines(spark, sf_dir):
     """Rows written as libsvm lines and parsed again."""
