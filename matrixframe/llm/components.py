@@ -37,9 +37,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         new = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == state or not new[0]:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+            out = e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
+            out.written_to = e.written_to  # for ``removed``, once nothing reads it any more
+            return out
         state = new
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _beside_least(both, 2 * new[0]).where("b > a")

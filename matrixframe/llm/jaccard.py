@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
-from .components import components
+from .common import checkpointed, removed
+from .components import HUB_SHARE, LEAST_HUB, components
 from .hashing import TextHasher, word_grams
 
 SHINGLE = 5
@@ -498,7 +498,8 @@ def _components(docs: DataFrame) -> DataFrame:
     counted = checkpointed(_count_pass(docs))
     of_docs = counted.where("chunk is null").select(_name().alias("name"), "n", "cls", "vec")
     by_class = of_docs.where("cls is not null").groupBy("cls")
-    classes = checkpointed(by_class.agg(F.min("name").alias("name"), F.first("n").alias("n"), F.first("vec").alias("vec")))
+    of_class = (F.min("name").alias("name"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("vec").alias("vec"))
+    classes = checkpointed(by_class.agg(*of_class))
     lists = checkpointed(_lists(_entries(docs, _levels(counted))))
     pairs, long = lists.where("token is null").select("a", "b"), lists.where("token is not null").select("token", "a", "first")
     possible = _bounded_pairs(pairs, classes).unionByName(_possible_links(long, classes))
@@ -507,8 +508,18 @@ def _components(docs: DataFrame) -> DataFrame:
     roots = linked.join(classes.select(F.col("cls").alias("node"), "name"), "node")
     least = roots.groupBy("root").agg(F.min("name").alias("least"))
     component = roots.join(least, "root").select(F.col("node").alias("cls"), "least")
-    own = classes.select("cls", F.col("name").alias("first")).join(component, "cls", "left").select("cls", F.coalesce("least", "first").alias("least"))
-    return of_docs.join(own, "cls", "left").select("name", F.col("n").alias("n_shingles"), F.coalesce("least", "name").alias("least"))
+    own = classes.select("cls", "copies", F.col("name").alias("first")).join(component, "cls", "left")
+    own = checkpointed(own.select("cls", "copies", F.coalesce("least", "first").alias("least")))
+    removed(clusters)
+    removed(linked)
+    # classes with more than this share of all rows, of which there are at most as many as its inverse, go to all tasks
+    limit = max(LEAST_HUB, int((classes.agg(F.sum("copies")).first()[0] or 0) * HUB_SHARE))
+    hubs = own.where(F.col("copies") > limit).select(F.col("cls").alias("hub"), F.col("least").alias("of_hub"))
+    alone = of_docs.where("cls is null").select("name", "n", F.col("name").alias("least"))
+    tagged = of_docs.where("cls is not null").join(F.broadcast(hubs), F.col("cls") == F.col("hub"), "left")
+    rest = tagged.where("hub is null").join(own.where(F.col("copies") <= limit).select("cls", "least"), "cls")
+    found = tagged.where("hub is not null").select("name", "n", F.col("of_hub").alias("least")).unionByName(rest.select("name", "n", "least"))
+    return found.unionByName(alone).select("name", F.col("n").alias("n_shingles"), "least")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -545,3 +556,21 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = named(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", whole.alias("whole")))
     return rows.groupBy("name").agg(F.min("whole").alias("whole")).join(kept, "name").select("whole.*")
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+linked AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id
+  WHERE 100 * a.n >= 75 * b.n AND 100 * b.n >= 75 * a.n
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+e AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+r AS (SELECT doc_id AS id, doc_id AS root FROM s UNION SELECT e.b, r.root FROM r JOIN e ON r.id = e.a AND r.root < e.b)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.root) AS component_id
+FROM s JOIN r ON r.id = s.doc_id GROUP BY s.doc_id, len(s.s)
+"""
