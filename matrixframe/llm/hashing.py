@@ -46,9 +46,12 @@ class TextHasher:
     """Hashes of all words of a text at once: polynomials over their bytes, from one running sum.
 
     ``sum[i]`` has the terms of all bytes before i; a word's are those between its ends, brought back to
-    where a word begins by an inverse power. Long texts go by segments of about a million bytes.
+    where a word begins by an inverse power. Long texts go by segments of about a million bytes. Words of more than
+    ``POLYNOMIAL`` bytes are hashed one by one, as polynomials modulo 2^64 are equal for some long regular words.
     """
 
+    POLYNOMIAL = 64
+
     SEGMENT = 1 << 20
     _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
     _GAP = re.compile(rb"[\x20\x09-\x0D]")
@@ -87,4 +90,7 @@ class TextHasher:
         at = np.flatnonzero(edge)
         terms = np.zeros(len(b) + 1, dtype=np.uint64)
         np.cumsum((b.astype(np.uint64) + np.uint64(1)) * self.powers[: len(b)], out=terms[1:])
-        return mixed((terms[at[1::2]] - terms[at[::2]]) * self.back[at[::2]])
+        out = mixed((terms[at[1::2]] - terms[at[::2]]) * self.back[at[::2]])
+        for i in np.flatnonzero(at[1::2] - at[::2] > self.POLYNOMIAL):
+            out[i] = xxhash.xxh3_64_intdigest(raw[at[2 * i] : at[2 * i + 1]])
+        return out
