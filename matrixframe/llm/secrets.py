@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,12 +29,23 @@ O, B, I = 0, 1, 2  # noqa: E741
 STATES = 3
 SAMPLE = 16_000
 SAMPLE_CHARS = 20_000
-EPOCHS = 6
+#: Texts with secrets that the sample should have.
+LEAST_SECRETS = 200
+EPOCHS = 4
 RATE = 0.2
 DECAY = 1e-5
 SEED = 7
 CACHE = 800_000
 
+#: What values are drawn from in masked views.
+ALPHABETS = tuple(
+    "".join(x)
+    for x in (
+        "0123456789abcdef", "0123456789ABCDEF", string.digits + string.ascii_lowercase, string.digits + string.ascii_uppercase,
+        string.digits + string.ascii_letters, string.digits + string.ascii_letters + "+/", string.digits * 2 + string.ascii_letters + "_-",
+    )
+)
+
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{16}")
 _EDGE = ".,;:!?\"'()[]{}<>"
@@ -247,12 +259,46 @@ def tagged_spans(text: str, states: np.ndarray) -> list[tuple[int, int, str]]:
     return out
 
 
-def silver_states(text: str) -> tuple[list[str], np.ndarray]:
-    """Tokens and their states under the base patterns: a token that overlaps a match is part of a secret."""
+def masked(text: str, spans: list[tuple[int, int, str]], rng: np.random.Generator) -> tuple[str, list[tuple[int, int, str]]]:
+    """A view of a text in which no secret shows what its pattern goes by, and where the secrets are there.
+
+    Key words make way for other words of the text, alone, with a sign, or as a prefix. Values are drawn anew: other
+    lengths and alphabets, in pieces or whole, behind a short prefix of their own or none. So only shape, spread of characters
+    and neighbours tell a secret. Spans that overlap an earlier one go as part of it."""
+    words = [w for w in (x.strip(_EDGE) for x in text[:2000].split()) if w.isalpha()] or ["word"]
+    out, found, at, size = [], [], 0, 0
+
+    def put(piece: str) -> None:
+        nonlocal size
+        out.append(piece)
+        size += len(piece)
+
+    for s, e, kind in spans:
+        if s < at:
+            continue
+        put(text[at:s])
+        letters = ALPHABETS[int(rng.integers(len(ALPHABETS)))]
+        value = "".join(letters[i] for i in rng.integers(0, len(letters), int(rng.integers(12, 45))))
+        if rng.random() < 0.3:
+            value = words[int(rng.integers(len(words)))][:3] + "_-"[int(rng.integers(2))] + value
+        elif rng.random() < 0.2:
+            third = len(value) // 3
+            value = "-".join((value[:third], value[third : 2 * third], value[2 * third :]))
+        if kind == "assign" and rng.random() < 0.7:
+            put(words[int(rng.integers(len(words)))] + (": ", " = ", "=", ' = "', " ")[int(rng.integers(5))])
+        found.append((size, size + len(value), kind))
+        put(value)
+        at = e
+    put(text[at:])
+    return "".join(out), found
+
+
+def silver_states(text: str, base: list[tuple[int, int, str]] | None = None) -> tuple[list[str], np.ndarray]:
+    """Tokens and their states under the base patterns, or given spans: a token that overlaps one is part of a secret."""
     spans = [m.span() for m in _TOKEN.finditer(text)]
     states = np.zeros(len(spans), dtype=np.int8)
     end = -1
-    base = base_spans(text)
+    base = base_spans(text) if base is None else base
     k = 0
     for i, (s, e) in enumerate(spans):
         while k < len(base) and base[k][1] <= s:
@@ -268,7 +314,9 @@ def fit(texts: list[str], seed: int = SEED, width: int = 12) -> Model:
     """Maximum likelihood by stochastic gradient steps (AdaGrad) on windows of texts.
 
     The states to learn are those that the base patterns give: all windows of ``width`` tokens to either
-    side of a secret, and as many from elsewhere. Texts without any give a model that tags nothing.
+    side of a secret, and as many from elsewhere. Two of three texts with secrets are learned from a ``masked``
+    view, so that the field finds secrets which no pattern names. Texts without any give a model that tags
+    nothing. The same texts in the same order give the same model.
     """
     names: dict[str, int] = {}
     t = np.zeros((STATES, STATES))
@@ -276,7 +324,10 @@ def fit(texts: list[str], seed: int = SEED, width: int = 12) -> Model:
     cache: dict[str, tuple] = {}
     hot, cold = [], []
     for text in texts:
-        tokens, states = silver_states(text)
+        base = base_spans(text)
+        if base and rng.random() < 2 / 3:
+            text, base = masked(text, base, rng)
+        tokens, states = silver_states(text, base)
         if not tokens:
             continue
         for x in set(tokens).difference(cache):
@@ -327,21 +378,34 @@ def fit(texts: list[str], seed: int = SEED, width: int = 12) -> Model:
     return Model(dict(zip(names, map(tuple, w.tolist()), strict=True)), t)
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on a bounded sample: of about ``sample`` texts of at most 20,000 characters, by a hash of their
-    ids, those with base spans and every tenth of the others."""
-    short = docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text")
-    share = min(1.0, sample / max(1, docs.count()))
-    u = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 20)) / (1 << 20)
+def train(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST_SECRETS) -> Model:
+    """Fit on a bounded sample: of texts of at most ``SAMPLE_CHARS`` characters, chosen by a hash of the text,
+    those with base spans and a tenth of the others, ``sample`` at most.
+
+    About ``sample`` texts are looked at first, and eight times as many again while fewer than ``least`` of them
+    have a secret, so rare secrets are learned at any size. Neither ids nor the partitions of the table
+    matter, and equal texts are learned once; a table without secrets gives a model that tags nothing.
+    """
+    short = docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("text")
+    total = docs.count()
+    order = F.xxhash64(F.lit(SEED), "text")
+    u = F.pmod(order, F.lit(1 << 30)) / (1 << 30)
 
     def telling(batches):
         for b in batches:
-            keep = [bool(i % 10 == 0 or base_spans(t)) for i, t in enumerate(b.column(1).to_pylist())]
-            yield b.filter(pa.array(keep, pa.bool_()))
+            tenth = b.column(1).to_numpy() % 10 == 0
+            spans = np.array([bool(base_spans(t)) for t in b.column(0).to_pylist()], dtype=bool)
+            yield pa.record_batch([*b.columns, pa.array(spans)], ["text", "order", "telling"]).filter(pa.array(tenth | spans))
 
-    found = short.where(u < share).mapInArrow(telling, short.schema)
-    got = found.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).toArrow().to_pylist()
-    return fit([r["text"] for r in got])
+    looked = sample
+    while True:
+        share = min(1.0, looked / max(1, total))
+        some = short.where(u < share).distinct().select("text", order.alias("order"))
+        found = some.mapInArrow(telling, "text string, order long, telling boolean")
+        got = found.orderBy(F.desc("telling"), "order", "text").limit(sample).toArrow().to_pylist()
+        if share >= 1 or sum(r["telling"] for r in got) >= least:
+            return fit([r["text"] for r in sorted(got, key=lambda r: (r["order"], r["text"]))])
+        looked *= 8
 
 
 def digest(spans: list[tuple[int, int, str]]) -> str:
@@ -352,8 +416,8 @@ def find_secrets(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``secrets``, an array of ``(start, end, kind)``, behind its columns.
 
     Spans are code points of the whole text, end exclusive, by start, then kind as listed. Base spans
-    always stay; the field adds those of its spans that overlap none. Null text has none. A column
-    ``secrets`` is replaced; rows and other columns stay as they are; an empty table gives no rows.
+    always stay; the field adds those of its spans that overlap none. Null text has none. Very long texts are
+    scanned whole; equal texts, and so repeated rows, get equal spans. A column ``secrets`` is replaced; rows and other columns stay as they are; an empty table gives no rows.
     """
     docs = without(docs, "secrets")
     keep = docs.columns
