@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 import zlib
 
 import numpy as np
@@ -19,6 +20,9 @@ BIN = 16
 MOST_DOCUMENTS = 4
 BUCKETS = 256
 TOKENIZER = "byte_bpe_50k"
+#: From so many white-space characters in a row a text goes to the tokenizer's own library, as the fast one can't match them.
+LONG_BLANK = 50_000
+_LONG_BLANK = re.compile(rf"\s{{{LONG_BLANK}}}")
 
 
 def default_files() -> tuple[str, str]:
@@ -30,7 +34,8 @@ def default_files() -> tuple[str, str]:
 @functools.lru_cache(2)
 def _encoder(json_file: str, rank_file: str):
     """Text to ids. The rank file holds the JSON file's vocabulary and gives the same ids four times as
-    fast; texts that name the special token go through the JSON file itself."""
+    fast. Texts that name the special token, have a very long run of blanks, or that the fast library gives up
+    on go through the JSON file itself. Tests hold both ways to equal ids."""
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
@@ -41,10 +46,18 @@ def _encoder(json_file: str, rank_file: str):
     whole = Tokenizer.from_file(json_file)
     special = [t.content for t in whole.get_added_tokens_decoder().values()]
 
+    def exact(text: str) -> list[int]:
+        return whole.encode(text, add_special_tokens=False).ids
+
     def encode(text: str) -> list[int]:
-        if any(s in text for s in special):
-            return whole.encode(text, add_special_tokens=False).ids
-        return fast.encode_ordinary(text)
+        if any(s in text for s in special) or (len(text) >= LONG_BLANK and _LONG_BLANK.search(text)):
+            return exact(text)
+        try:
+            return fast.encode_ordinary(text)
+        except BaseException as e:
+            if type(e).__name__ != "PanicException":  # of the native library, and no subclass of Exception
+                raise
+            return exact(text)
 
     return encode
 
@@ -225,10 +238,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, files: tuple[str, str] | Non
     all pieces share is still spread, and each finds its slot by its number.
 
     Null text is empty and packs as the lone separator; equal ids and repeated rows are packed a row
-    each; an empty table gives no rows. Other columns are ignored. ``doc_id`` is an integer or null.
+    each; an empty table gives no rows. Other columns are ignored. ``doc_id`` is an integer or null. Very
+    long texts are tokenized whole in one task and cut to pieces there. Buckets go by id,
+    content and the partition of the written pieces, so rows without an id and repeated rows are spread as others are.
     """
     pieces = checkpointed(tokenized_pieces(docs, capacity, files))
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int"))
+    spread = F.xxhash64("doc_id", "piece", "ids_crc32", F.spark_partition_id())
+    pieces = pieces.withColumn("bucket", F.pmod(spread, F.lit(BUCKETS)).cast("int"))
     sizes = checkpointed(pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")))
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in sizes.groupBy("length").agg(F.sum("n")).collect():
