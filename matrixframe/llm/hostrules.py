@@ -12,8 +12,8 @@ MAX_REPEATED_PERCENT = 30
 MAX_SYMBOLS_PERCENT = 10
 MAX_DUP_LINES = 20
 WINDOW_WORDS = 8
-#: A host is refused when its shrunk failure rate is above this.
-HOST_LIMIT = 0.5
+#: A host is refused when its shrunk failure rate, less so many posterior deviations, is still so far above the corpus's.
+DOUBT, MARGIN = 2.0, 0.2
 SALTS = 32
 
 
@@ -82,19 +82,21 @@ def measure(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "source", "m.n_words", "m.word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words")
 
 
-def judge(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
-    """Measures of every document with ``base_failed``, its host's shrunk failure rate, and ``kept``.
+def judge(docs: DataFrame, margin: float = MARGIN, doubt: float = DOUBT) -> DataFrame:
+    """Measures of every document with ``base_failed``, its host's ``host_rate`` and ``host_low``, and ``kept``.
 
     Base rules fail a document by itself. For its host (``source``) it also counts as failed when
     symbols are over 10% of its word characters or more than 20 lines repeat earlier ones. A host with
     f failures in n documents has the rate (f + a) / (n + a + b), where the beta prior (a, b) has the
     mean and variance of hosts' rates over the whole corpus, by moments weighted by documents. With no
     spread beyond what chance gives the prior is as strong as the corpus; a corpus in which all or none
-    fail gets a prior of two documents at that rate. Hosts above ``host_limit`` are refused whole.
+    fail gets a prior of two documents at that rate. ``host_low`` is this rate less ``doubt`` deviations of its
+    posterior; a host is refused whole, its documents that pass by themselves too, if even that is more than
+    ``margin`` above the corpus's rate. So a small host, of which little is known, is not refused for a few failures.
 
-    Null and empty texts have no words and fail; null sources are one host; equal ids and repeated rows
-    are judged and counted a row each; an empty table gives no rows. Other columns are ignored.
-    Hosts' counts are summed before the shuffle, and the verdicts are joined back over 32 salts a host.
+    Null and empty texts have no words and fail; null sources are one host; equal ids, null ids and repeated
+    rows are judged and counted a row each; very long texts are measured whole, in one task; an empty table gives no rows. Other
+    columns are ignored. Hosts' counts are summed before the shuffle, and the verdicts are joined back over 32 salts a host.
     """
     m = checkpointed(measure(docs))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
@@ -114,15 +116,19 @@ def judge(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     rate = (F.col("f") + F.col("a")) / (F.col("n") + F.col("ab"))
     salted = (
         hosts.withColumn("one", F.lit(1)).join(F.broadcast(prior), "one")  # one row
-        .select(F.col("source").alias("host"), rate.alias("host_rate"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        .select(F.col("source").alias("host"), rate.alias("host_rate"), (F.col("a") / F.col("ab")).alias("corpus_rate"), "n", "ab")
     )
-    own_salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    deviation = F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (F.col("n") + F.col("ab") + 1))
+    salted = salted.withColumn("host_low", F.col("host_rate") - doubt * deviation)
+    salted = salted.withColumn("refused", F.col("host_low") > F.col("corpus_rate") + margin)
+    salted = salted.select("host", "host_rate", "host_low", "refused", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own_salt = F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(SALTS)).cast("int")
     joined = m.withColumn("own_salt", own_salt).join(
         salted, F.col("source").eqNullSafe(F.col("host")) & (F.col("own_salt") == F.col("salt"))
     )
     return joined.select(
         "doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        "host_rate", (~F.col("base_failed") & (F.col("host_rate") <= host_limit)).alias("kept"),
+        "host_rate", "host_low", (~F.col("base_failed") & ~F.col("refused")).alias("kept"),
     )
 
 
@@ -148,7 +154,9 @@ sums AS (SELECT sum(n) AS docs, sum(f) / sum(n) AS mean, count(*) AS hosts, sum(
 prior AS (SELECT mean, CASE WHEN mean * (1 - mean) > 0 THEN greatest(mean * (1 - mean)
     / greatest(squares / docs - mean * mean - mean * (1 - mean) * hosts / docs, mean * (1 - mean) / (docs + 1)) - 1, 1e-6)
   ELSE 2 END AS s FROM sums),
-verdicts AS (SELECT source, (f + mean * s) / (n + s) <= 0.5 AS good FROM hosts, prior)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND good AS kept
+rates AS (SELECT source, n, s, mean, (f + mean * s) / (n + s) AS rate FROM hosts, prior),
+verdicts AS (SELECT source, mean, rate, rate - 2.0 * sqrt(rate * (1 - rate) / (n + s + 1)) AS low FROM rates)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND low <= mean + 0.2 AS kept, round(rate, 9) AS host_rate, round(low, 9) AS host_low
 FROM b JOIN verdicts v ON b.source IS NOT DISTINCT FROM v.source
 """

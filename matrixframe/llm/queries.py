@@ -16,9 +16,8 @@ def op1_langid(spark, sf_dir):
 
 def op2_chat_format(spark, sf_dir):
     control = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame(
-        [(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string"
-    )
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(control).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     done = chat.format_chats(turns)
     read, loss = chat.read_turns(F.col("formatted")), chat.read_loss(F.col("formatted"), F.col("loss_spans"))
@@ -50,7 +49,8 @@ def op5_toxicity(spark, sf_dir):
 
 
 def op6_host_rules(spark, sf_dir):
-    return hostrules.judge(table(spark, sf_dir, "documents")).drop("source", "host_rate")
+    found = hostrules.judge(table(spark, sf_dir, "documents")).drop("source")
+    return found.withColumns({c: F.round(c, 9) for c in ("host_rate", "host_low")})
 
 
 def op7_secrets(spark, sf_dir):
@@ -94,4 +94,4 @@ QUERIES = {
     "op9_order_minhash": op9_order_minhash,
     "op10_quality": op10_quality,
 }
-ORACLES = {"op2_chat_format": chat.SQL, "op3_mixing": mixing.SQL, "op6_host_rules": hostrules.SQL}
+ORACLES = {"op2_chat_format": chat.SQL, "op3_mixing": mixing.SQL, "op6_host_rules": hostrules.SQL, "op8_jaccard_join": jaccard.SQL}

@@ -117,6 +117,37 @@ def test_mix_keeps_rows_and_comes_near_targets(spark):
     assert {r[0]: r[5] for r in a if r[5]} == counts
 
 
+@pytest.mark.parametrize("most", [1, 50_000])
+def test_sample_equals_mix_on_repeated_and_missing_ids(spark, monkeypatch, most):
+    """Copies at the cut, with and without an id, and copies that differ in another column."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most)
+    rows = [(None, "a b c", "en", "x", i % 2) for i in range(200)] + [(7, "d e", "fr", "x", i % 3) for i in range(90)]
+    rows += [(None, f"w{i} " * (1 + i % 5), "en", "x", 0) for i in range(150)] + [(i, "many words here " * 30, "en", "y", 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    mixed = mixing.mix(df).collect()
+    drawn = mixing.sample(df).collect()
+    assert len(mixed) == len(rows)
+    taken = sum(r["taken"] for r in mixed)
+    assert sum(len(r["text"].split()) for r in drawn) == taken
+    by_text = Counter(r["text"] for r in drawn)
+    assert max(n / sum(t == r[1] for r in rows) for t, n in by_text.items()) <= 3
+    for s in "xy":
+        target = next(r["target"] for r in mixed if r["source_size"] == sum(len(t.split()) for _, t, _, o, _ in rows if o == s))
+        assert abs(sum(len(r["text"].split()) for r in drawn if r["source"] == s) - target) <= 45
+    assert Counter(map(tuple, drawn)) == Counter(map(tuple, mixing.sample(df.repartition(2)).collect()))
+
+
+def test_ranks_of_many_sources(spark):
+    names = [None, *sorted((f"s{i}" for i in range(300)), key=str.encode), "\U0001f600", "\uffff"]
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "source string, source_size long").repartition(4)
+    got = {r["source"]: r["r"] for r in mixing.ranked_sources(df).collect()}
+    assert got == {n: i for i, n in enumerate(sorted(names, key=lambda n: (n is None, (n or "").encode())))}
+    sizes = {n: (i * 37) % 101 for i, n in enumerate(names)}
+    levels = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"))
+    want = water_filled(sizes)
+    assert {r["source"]: r["target"] for r in levels.collect()} == pytest.approx(want)
+
+
 def test_mix_handles_odd_tables(docs, rows, empty, clashing):
     assert mixing.mix(empty).count() == 0 and mixing.sample(empty).count() == 0
     assert mixing.mix(docs).count() == len(rows)
@@ -164,6 +195,15 @@ def test_bad_hosts_go_whole_and_small_ones_are_shrunk(spark):
     assert all(got[i]["kept"] for i in range(200)) and got[2002]["kept"]
     assert not any(got[1000 + i]["kept"] for i in range(200))
     assert 0.4 < got[2001]["host_rate"] < 0.5 and not got[2000]["kept"]
+    # half of the small host fails as well, but too little is known of it to refuse what passes there
+    assert got[2001]["kept"] and got[2001]["host_low"] < got[1000]["host_low"] < got[1000]["host_rate"]
+
+
+def test_hosts_of_the_corpus_rate_stay_at_any_size(spark):
+    good = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, "short" if i % 4 == 0 else good, f"h{i % 37 // 12}") for i in range(2000)]
+    got = hostrules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {r["doc_id"] for r in got.where("kept").collect()} == {i for i, t, _ in rows if t == good}
 
 
 def test_host_rules_handle_odd_tables(docs, rows, empty, clashing):
