@@ -103,6 +103,7 @@ class MatrixFrame:
     def __init__(self, df: DataFrame, n_rows: int | None = None, n_cols: int | None = None):
         self.df = df.select(F.col("row_id").cast("long").alias("row_id"), F.col("features").cast("array<double>").alias("features"))
         self._dims = (n_rows, n_cols) if n_rows is not None and n_cols is not None else None
+        self._tasks: int | None = None
         #: The frame that this one's blocks were computed from, and how, if it is such and isn't kept itself.
         self.source: tuple[MatrixFrame, Callable] | None = None
 
@@ -306,7 +307,9 @@ class MatrixFrame:
                     yield panel_of(task, panel, total[s : s + step])
 
         parts = self.df.mapInArrow(run, PANEL_SCHEMA)
-        n = partitions_of(self.df)
+        if self._tasks is None:
+            self._tasks = partitions_of(self.df)
+        n = self._tasks
         while n > FAN:
             parts = parts.groupBy((F.col("part") / FAN).cast("long"), "panel").applyInArrow(merged_panels, PANEL_SCHEMA)
             n = -(-n // FAN)

@@ -103,7 +103,8 @@ def row(spark, **values) -> DataFrame:
 
 @query("SELECT count(*) AS n_rows, CAST(max(len(embedding)) AS BIGINT) AS n_cols FROM embeddings")
 def dims(spark, sf_dir):
-    n, m = embeddings(spark, sf_dir).dims()
+    """Counted where ids and rows are checked as well."""
+    n, m = MatrixFrame.from_df(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").dims()
     return row(spark, n_rows=n, n_cols=m)
 
 
