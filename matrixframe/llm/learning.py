@@ -17,8 +17,10 @@ SEED = 5
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE) -> tuple[list[str], np.ndarray, float]:
     """Texts, 0/1 labels, and the share of label 1 among all that may be learned from, of at most ``rows`` documents that aren't held out, up to half of them with label 1.
 
-    Which ones is decided by a hash of the id. Null labels and null or longer texts are left out; of
-    several labels of one id the largest counts, and of several texts the first in order.
+    Which ones is decided by a hash of the id. Null labels and null or longer texts are left out, also
+    labels and texts without an id; of several labels of one id the largest counts, and of several texts
+    the first in order, so repeated rows change nothing. Texts of over ``SAMPLE_CHARS`` characters are
+    scored whole but never learned from.
     """
     known = labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r[0]: r[1] for r in known.groupBy(F.col(label) > 0).count().collect()}
@@ -28,12 +30,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     )
     chosen = known.where(u < share).groupBy("doc_id").agg(F.max(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     short = docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text")
-    got = short.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").toArrow().to_pylist()  # of `rows` ids at most
-    first: dict = {}
-    for r in sorted(got, key=lambda r: (r["doc_id"], r["text"])):
-        first.setdefault(r["doc_id"], (r["text"], int(r["y"] > 0)))
+    met = short.join(F.broadcast(chosen), "doc_id")  # of `rows` ids at most
+    got = met.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).toArrow().to_pylist()
+    got.sort(key=lambda r: r["doc_id"])
     weight = [counts.get(bool(y), 0) for y in (0, 1)]
-    texts, y = [t for t, _ in first.values()], np.array([y for _, y in first.values()], dtype=int)
+    texts, y = [r["text"] for r in got], np.array([int(r["y"] > 0) for r in got], dtype=int)
     return texts, y, (weight[1] + 1) / (sum(weight) + 2)
 
 

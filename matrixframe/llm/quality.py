@@ -139,13 +139,16 @@ def fit(texts: list[str], y: np.ndarray, prior: float) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
+    """Learn from a bounded labelled sample, in which repeated rows and labels and rows without an id change
+    nothing (``labelled_sample``); without labels of both classes every score is their share."""
     return fit(*labelled_sample(docs, labels, label))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``score`` and ``predicted`` behind its columns; only the text is read.
 
-    A null text scores as the empty one. Columns of these two names are replaced; rows and other
+    A null text scores as the empty one, very long texts count whole, and equal texts, so also repeated rows, score
+    alike; a score equal to the threshold is predicted 1. Columns of these two names are replaced; rows and other
     columns stay as they are; an empty table gives no rows.
     """
     docs = without(docs, "score", "predicted")
