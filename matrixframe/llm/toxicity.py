@@ -171,8 +171,8 @@ def restore(chunk: str, lm: np.ndarray) -> list[str]:
 
 
 def spaced_words(run: str, lm: np.ndarray) -> list[str]:
-    """Words that single characters in a row spell: all in one where that is short, and as decoded."""
-    return list(dict.fromkeys([*([run] if len(run) <= 20 else []), *viterbi(lattice(run, spaced=True), lm).split()]))
+    """Words that single characters in a row spell: all in one, and as decoded."""
+    return list(dict.fromkeys([run, *viterbi(lattice(run, spaced=True), lm).split()]))
 
 
 def features(word: str) -> list[str]:
@@ -284,14 +284,16 @@ def fit(texts: list[str], y: np.ndarray, prior: float, lm: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    """The language model reads all documents; the evidence comes from a bounded labelled sample."""
+    """The language model reads all documents, whole and null ones as empty; the evidence comes from a bounded
+    labelled sample, in which repeated rows and labels and rows without an id change nothing (``labelled_sample``)."""
     return fit(*labelled_sample(docs, labels, label), language_model(docs))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``score`` and ``predicted`` behind its columns; only the text is read.
 
-    A null text scores as the empty one. Columns of these two names are replaced; rows and other
+    A null text scores as the empty one, very long texts are decoded whole, and equal texts, so also repeated rows,
+    score alike; a score equal to the threshold is predicted 1. Columns of these two names are replaced; rows and other
     columns stay as they are; an empty table gives no rows.
     """
     docs = without(docs, "score", "predicted")
