@@ -321,8 +321,7 @@ def fit(texts: list[str], seed: int = SEED, width: int = 12) -> Model:
     names: dict[str, int] = {}
     t = np.zeros((STATES, STATES))
     rng = np.random.default_rng(seed)
-    cache: dict[str, tuple] = {}
-    hot, cold = [], []
+    views, hot, cold = [], [], []
     for text in texts:
         base = base_spans(text)
         if base and rng.random() < 2 / 3:
@@ -330,9 +329,6 @@ def fit(texts: list[str], seed: int = SEED, width: int = 12) -> Model:
         tokens, states = silver_states(text, base)
         if not tokens:
             continue
-        for x in set(tokens).difference(cache):
-            cache[x] = token_features(x)
-        filed = file_features(text, len(tokens))
         marks = np.flatnonzero(states)
         starts = [max(0, m - width) for m in marks]
         if not len(starts) or rng.random() < 0.3:
@@ -344,34 +340,43 @@ def fit(texts: list[str], seed: int = SEED, width: int = 12) -> Model:
             if s < last:
                 continue
             last = e = min(len(tokens), s + 2 * width)
-            feats = []
-            for i in range(s, e):
-                f = [*cache[tokens[i]][0], *filed]
-                if i:
-                    f += cache[tokens[i - 1]][1]
-                if i + 1 < len(tokens):
-                    f += cache[tokens[i + 1]][2]
-                feats.append([names.setdefault(x, len(names)) for x in f])
-            (hot if states[s:e].any() else cold).append((feats, states[s:e]))
+            (hot if states[s:e].any() else cold).append((len(views), int(s), int(e)))
+        views.append((text, base))
     if not hot:
         return Model({}, t)
-    w = np.zeros((len(names), STATES))
+    # features are made of the windows that are learned from only, and held as flat arrays
     cold = [cold[i] for i in rng.permutation(len(cold))[: 2 * len(hot) + 200]]
-    windows = hot + cold
+    windows, held = [], None
+    for k, s, e in sorted(hot + cold):
+        if held != k:
+            held = k
+            tokens, states = silver_states(*views[k])
+            filed = file_features(views[k][0], len(tokens))
+        at, sizes = [], []
+        for i in range(s, e):
+            f = [*token_features(tokens[i])[0], *filed]
+            if i:
+                f += token_features(tokens[i - 1])[1]
+            if i + 1 < len(tokens):
+                f += token_features(tokens[i + 1])[2]
+            at += [names.setdefault(x, len(names)) for x in f]
+            sizes.append(len(f))
+        windows.append((np.array(at, np.int32), np.array(sizes, np.int32), states[s:e].copy()))
+    del views
+    w = np.zeros((len(names), STATES))
     gw, gt = np.full_like(w, 1e-6), np.full_like(t, 1e-6)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(windows)):
-            feats, states = windows[i]
-            e = np.array([w[f].sum(axis=0) for f in feats])
+            at, sizes, states = windows[i]
+            e = np.add.reduceat(w[at], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
             p, pairs = marginals(e, t)
             p[np.arange(len(states)), states] -= 1
             np.subtract.at(pairs, (states[:-1], states[1:]), 1)
             gt += pairs**2
             t -= RATE * (pairs + DECAY * t) / np.sqrt(gt)
-            at = np.concatenate([np.array(f) for f in feats])
             unique, owner = np.unique(at, return_inverse=True)
             g = np.zeros((len(unique), STATES))
-            np.add.at(g, owner, np.repeat(p, [len(f) for f in feats], axis=0))
+            np.add.at(g, owner, np.repeat(p, sizes, axis=0))
             g += DECAY * w[unique]
             gw[unique] += g**2
             w[unique] -= RATE * g / np.sqrt(gw[unique])
