@@ -125,62 +125,122 @@ RESULT = (
 )
 
 
+class _Ranges:
+    """Ranges of rows in the order of ``(key, h)``, the id and a hash of the text.
+
+    ``cuts`` are quantiles of the ids. An id that several of them name holds so many ranges' rows, and is itself cut
+    into as many ranges by the hash. So neither rows without an id nor those of one id meet in one range."""
+
+    def __init__(self, first: int, cuts: list[int]):
+        self.keys, times = np.unique(np.array([first, *cuts], dtype=np.int64), return_counts=True)
+        self.times = times
+        self.start = np.concatenate([[0], np.cumsum(times)[:-1]])
+
+    def of(self, keys: np.ndarray, h: np.ndarray) -> np.ndarray:
+        u = np.searchsorted(self.keys, keys, side="right") - 1
+        share = (h.astype(np.float64) + 2.0**63) / 2.0**64
+        own = np.minimum((share * self.times[u]).astype(np.int64), self.times[u] - 1)
+        return self.start[u] + np.where(keys == self.keys[u], own, self.times[u] - 1)
+
+
 def compare_with_next(docs: DataFrame, parts: int | None = None, **options) -> DataFrame:
     """Fingerprints of every text, of it with its last half edited, and how like each is to the first.
 
-    The next document is the next by ``doc_id`` (null ids last; of equal ids, and of repeated rows, the
-    next by text); the last one's is the first. Null text is empty. An empty table gives no rows.
-    Other columns are ignored.
+    The next document is the next by ``doc_id`` (null ids last; of equal ids, the next by a hash of the text, then by
+    text; of equal rows, another of them); the last one's is the first. Null text is empty. Very long texts are
+    taken whole. An empty table gives no rows. Other columns are ignored.
 
-    Ids are cut at approximate quantiles, which are ids themselves and so the least of their range. One
-    shuffle deals out the ranges; the rows with the least id of a range go to the range before as well,
-    where they only serve as next. So no task sees more than its range, and texts move once.
+    Ids are cut at approximate quantiles, and an id that has several ranges' rows, as null may, by the hash as well.
+    One shuffle deals out the ranges; the first row of a range goes to the range before as well, where it
+    only serves as next. So no task sees more than its range, and texts move once. Equal rows of a batch move as
+    one with their number.
     """
     spark = docs.sparkSession
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     last = (1 << 63) - 1
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     key = F.coalesce("doc_id", F.lit(last))
     steps = [(i + 1) / parts for i in range(parts - 1)] or [0.5]
     found = keyed.agg(F.min(key).alias("first"), F.percentile_approx(key, steps, 20 * parts).alias("cuts")).first()
-    first = found["first"]
-    cuts = np.array(sorted({c for c in found["cuts"] or [] if c > first}) if parts > 1 else [], dtype=np.int64)
+    ranges = _Ranges(found["first"] or 0, (found["cuts"] or []) if parts > 1 else [])
+
+    def keys_of(b) -> tuple[np.ndarray, np.ndarray]:
+        return b.column(0).fill_null(last).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+
+    def least(batches):
+        for b in batches:
+            if b.num_rows:
+                k, h = keys_of(b)
+                part = ranges.of(k, h)
+                order = np.lexsort((h, k, part))
+                at = order[np.unique(part[order], return_index=True)[1]]
+                yield pa.record_batch([pa.array(x[at]) for x in (part, k, h)], ["part", "k", "h"])
+
+    firsts = keyed.select("doc_id", "h").mapInArrow(least, "part long, k long, h long").groupBy("part").agg(F.min(F.struct("k", "h")).alias("at"))
+    known = sorted((r["part"], r["at"]["k"], r["at"]["h"]) for r in firsts.collect())  # a row a range
+    some, first_k, first_h = (np.array([r[i] for r in known], dtype=np.int64) for i in range(3))
 
     def deal(batches):
         for b in batches:
-            keys = b.column(0).fill_null(last).to_numpy(zero_copy_only=False)
-            part = np.searchsorted(cuts, keys, side="right")
-            after = np.flatnonzero((part > 0) & (keys == np.concatenate([[first], cuts])[part]))
-            wrap = np.flatnonzero(keys == first)
-            rows = pa.array(np.concatenate([np.arange(len(keys)), after, wrap]))
-            where = np.concatenate([part, part[after] - 1, np.full(len(wrap), len(cuts))])
-            serves = np.concatenate([np.zeros(len(keys), bool), np.ones(len(after) + len(wrap), bool)])
-            columns = [pa.array(where.astype(np.int32)), pa.array(serves), b.column(0).take(rows), b.column(1).take(rows)]
-            yield pa.record_batch(columns, ["part", "serves", "doc_id", "text"])
-
-    dealt = keyed.mapInArrow(deal, "part int, serves boolean, doc_id long, text string")
-    ranged = dealt.repartition("part").sortWithinPartitions("part", "serves", F.col("doc_id").asc_nulls_last(), "text")
+            if not b.num_rows:
+                continue
+            k, h = keys_of(b)
+            # equal ids and hashes beside each other; of equal rows the first stands for all
+            order = np.lexsort((h, k))
+            same = np.zeros(len(k), dtype=bool)
+            same[1:] = (k[order][1:] == k[order][:-1]) & (h[order][1:] == h[order][:-1])
+            if same.any():
+                ids, texts = b.column(0), b.column(2)
+                for i in np.flatnonzero(same):
+                    x, y = int(order[i]), int(order[i - 1])
+                    same[i] = ids[x].is_valid == ids[y].is_valid and texts[x] == texts[y]
+            at = order[~same]
+            copies = np.diff(np.concatenate([np.flatnonzero(~same), [len(k)]]))
+            part = ranges.of(k[at], h[at])
+            i = np.searchsorted(some, part)
+            leads = np.flatnonzero((first_k[i] == k[at]) & (first_h[i] == h[at]))
+            before = some[i[leads] - 1]  # the first range's first row serves in the last range
+            rows = np.concatenate([at, at[leads]])
+            serves = np.concatenate([np.zeros(len(at), bool), np.ones(len(leads), bool)])
+            columns = [np.concatenate([part, before]).astype(np.int32), serves, np.concatenate([copies, np.ones(len(leads), np.int64)])]
+            yield pa.record_batch([*map(pa.array, columns), *(c.take(pa.array(rows)) for c in b.columns)], ["part", "serves", "copies", "doc_id", "h", "text"])
+
+    dealt = keyed.mapInArrow(deal, "part int, serves boolean, copies long, doc_id long, h long, text string")
+    ranged = dealt.repartition("part").sortWithinPartitions("part", "serves", F.col("doc_id").asc_nulls_last(), "h", "text")
 
     def compare(batches):
         hasher = OrderMinHash(**options)
         held = None
+        names = [c.split()[0] for c in RESULT.split(", ")]
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+
+        def compared(own_id, own, own_sign, text, sign):
+            other = edited(own, text)
+            other_sign = own_sign if other == own else sign if other == text else hasher.signature(other)
+            return (
+                own_id, len(own), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), as_text(own_sign),
+                as_text(other_sign), hasher.likeness(own_sign, other_sign), hasher.likeness(own_sign, sign),
+            )
+
+        def table(out):
+            return pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 7, kinds, strict=True)], names)
+
         for b in batches:
             out = []
-            for part, serves, doc_id, text in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+            for part, serves, copies, doc_id, _, text in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
                 sign = None
                 if held and held[0] == part:
-                    _, own_id, own, own_sign = held
-                    sign = own_sign if text == own else hasher.signature(text)
-                    other = edited(own, text)
-                    other_sign = own_sign if other == own else sign if other == text else hasher.signature(other)
-                    out.append((
-                        own_id, len(own), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), as_text(own_sign),
-                        as_text(other_sign), hasher.likeness(own_sign, other_sign), hasher.likeness(own_sign, sign),
-                    ))
-                held = None if serves else (part, doc_id, text, hasher.signature(text) if sign is None else sign)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-            columns = list(zip(*out, strict=True)) or [[]] * 7
-            names = [c.split()[0] for c in RESULT.split(", ")]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+                    sign = held[3] if text == held[2] else hasher.signature(text)
+                    out.append(compared(*held[1:], text, sign))
+                if serves:
+                    held = None
+                    continue
+                held = (part, doc_id, text, hasher.signature(text) if sign is None else sign)
+                if copies > 1:  # all but the last are followed by an equal row
+                    again = compared(doc_id, text, held[3], text, held[3])
+                    for s in range(0, copies - 1, 5000):
+                        yield table([again] * min(5000, copies - 1 - s))
+            yield table(out)
 
     return ranged.mapInArrow(compare, RESULT)

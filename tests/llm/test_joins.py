@@ -222,6 +222,15 @@ def test_word_hashes_follow_words(text):
         assert (a == b) == (x == y)
 
 
+def test_regular_words_that_polynomials_confuse_are_told_apart():
+    """Words of two letters in the order of bit counts, and with the letters exchanged, of 1,024 letters and more."""
+    for n in (64, 1024, 4096):
+        word = bytes(b"ab"[i.bit_count() % 2] for i in range(n))
+        turned = bytes(b"ba"[i.bit_count() % 2] for i in range(n))
+        a, b, c = hashing.TextHasher().words(word + b" " + turned + b" " + word)
+        assert a == c != b
+
+
 def test_long_texts_are_hashed_in_segments(monkeypatch):
     raw = b"alpha beta  gamma\n" * 50 + b"z" * 300 + b" end"
     whole = hashing.TextHasher().words(raw)
@@ -287,8 +296,15 @@ def test_order_counts():
 
 @pytest.mark.parametrize("parts", [1, 5, 40])
 def test_comparison_with_the_next(spark, rows, docs, parts):
-    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
-    ordered = sorted(((r[0], r[1] or "") for r in rows), key=key)
+    check_compared(docs, parts)
+
+
+def check_compared(docs, parts):
+    from pyspark.sql import functions as F
+
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h")).collect()
+    ordered = [(r[0], r[1]) for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[2], r[1]))]
     h = ordermin.OrderMinHash()
     want = []
     for k, (i, text) in enumerate(ordered):
@@ -300,6 +316,21 @@ def test_comparison_with_the_next(spark, rows, docs, parts):
     assert as_set(ordermin.compare_with_next(docs, parts)) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("parts", [2, 9])
+def test_hot_ids_are_cut_by_hash(spark, parts):
+    """Half of the rows without an id, a quarter with one id, equal rows among them, in some partitions and over several."""
+    rng = random.Random(9)
+    rows = [(None, prose(rng, 6)) for _ in range(60)] + [(5, prose(rng, 6)) for _ in range(30)]
+    rows += [(None, "copied text of a page")] * 25 + [(5, None)] * 3 + [(i, prose(rng, 6)) for i in range(20)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    check_compared(df, parts)
+    ids = np.array([(1 << 63) - 1 if i is None else i for i, _ in rows])
+    ranges = ordermin._Ranges(0, sorted(ids[:: max(1, len(ids) // 8)].tolist()))
+    part = ranges.of(ids, np.random.default_rng(0).integers(-(1 << 63), (1 << 63) - 1, len(ids)))
+    assert np.bincount(part).max() < 0.45 * len(ids)
+
+
 def test_fingerprints_of_odd_tables(docs, empty, clashing, spark):
     assert ordermin.compare_with_next(empty).count() == 0
     assert as_set(ordermin.compare_with_next(clashing, 3)) == as_set(ordermin.compare_with_next(docs, 3))
