@@ -2,6 +2,7 @@
 
 Stages take nulls in any column, empty and very long texts, equal ids, repeated rows, empty tables and further
 columns, which none of them reads; each says what becomes of such rows. All but the last give ``COLUMNS``.
+Those that run Python leave the session with ``small_batches``; results don't depend on it.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matrixframe.llm import jaccard, langid, mixing, packing, secrets
-from matrixframe.llm.common import delete, shared_folder
+from matrixframe.llm.common import delete, shared_folder, small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -24,6 +25,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     the model learns nothing from the row. Repeated rows and rows without an id are told one by one; very long
     texts are read whole. Without any labelled row no language is known and nothing is left.
     """
+    small_batches(spark)
     return langid.identify(docs.select(*COLUMNS), langid.train(docs)).where("accepted").select(*COLUMNS)
 
 
@@ -32,6 +34,7 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Documents without words are in no group and stay. Of rows equal in id and text one stays.
     """
+    small_batches(spark)
     return jaccard.distinct_documents(docs.select(*COLUMNS))
 
 
@@ -41,6 +44,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null texts stay null and texts without secrets as they are, their ``n_chars`` too, also a null one.
     Repeated rows stay repeated.
     """
+    small_batches(spark)
     found = secrets.find_secrets(docs.select(*COLUMNS), secrets.train(docs))
     clean = found.withColumn("text", secrets.redact(F.col("text"), F.col("secrets")))
     return clean.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
@@ -57,6 +61,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in sequences of 2,048 tokens. Repeats are packed each by itself;
     a null or empty text is the lone separator; only texts of over 2,047 tokens are cut."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

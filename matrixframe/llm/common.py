@@ -16,6 +16,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Rows with this remainder are never learned from.
 HELD_OUT = 2
 
+#: Bytes of a batch that goes to Python; beyond them a batch ends with the row that passes them.
+BATCH_BYTES = 4 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder in ``spark.checkpoint.dir``. Where the session names none, a temporary one on a local
@@ -35,6 +38,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have the session cut what goes to Python by bytes too, at ``BATCH_BYTES`` or its own lower limit. By rows alone
+    a batch is 10,000 texts, of which the executor and its Python worker hold copies in each task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    kept = spark.conf.get(name, None)
+    if not (kept and kept.isdigit() and 0 < int(kept) <= BATCH_BYTES):
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def written(df: DataFrame) -> DataFrame:
     """As ``checkpointed``, as a table. For loops: a checkpoint keeps the size that the optimizer guessed,
     which joins square each round; a table has the size of its files."""

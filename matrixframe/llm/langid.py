@@ -29,7 +29,8 @@ RATE = 20.0
 MAX_ERROR = 0.02
 SEED = 11
 UNKNOWN = "und"
-CACHE = 400_000
+#: Words that stay scored, and words scored at a time.
+CACHE, NEW = 100_000, 8_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -74,8 +75,7 @@ class Model:
         rows: dict[str, int] = {}
         sums = np.zeros((1, len(self.languages) + 1))
 
-        def learn(new: list[str]) -> None:
-            nonlocal sums
+        def learn(new: list[str], first: int) -> np.ndarray:
             parts = [words_of(chunk) for chunk in new]
             flat = [w for p in parts for w in p]
             own = np.zeros((len(new), len(self.languages) + 1))
@@ -85,8 +85,8 @@ class Model:
                 for c in range(len(self.languages)):
                     own[:, c] = np.bincount(chunk, self.log_odds[at, c], len(new))
                 own[:, -1] = np.bincount(chunk, minlength=len(new))
-            rows.update(zip(new, range(len(sums), len(sums) + len(new)), strict=True))
-            sums = np.concatenate([sums, own])
+            rows.update(zip(new, range(first, first + len(new)), strict=True))
+            return own
 
         def predict(texts: list[str | None]) -> tuple[list[str], list[float]]:
             nonlocal sums
@@ -95,8 +95,10 @@ class Model:
                 sums = sums[:1]
             split = [(t or "").split() for t in texts]
             new = set().union(*split).difference(rows)
-            if new:
-                learn(list(new))
+            new = list(new)
+            own = [learn(new[at : at + NEW], len(sums) + at) for at in range(0, len(new), NEW)]
+            if own:
+                sums = np.concatenate([sums, *own])
             total = np.array([sums[np.fromiter(map(rows.__getitem__, s), np.int64, len(s))].sum(axis=0) for s in split])
             total = total.reshape(len(texts), len(self.languages) + 1)
             known = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts], dtype=bool)

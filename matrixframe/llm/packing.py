@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import re
 import zlib
 
@@ -43,11 +44,12 @@ def _encoder(json_file: str, rank_file: str):
     with open(rank_file, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    whole = Tokenizer.from_file(json_file)
-    special = [t.content for t in whole.get_added_tokens_decoder().values()]
+    with open(json_file, encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f)["added_tokens"]]
+    whole = functools.cache(Tokenizer.from_file)  # few tasks meet a text that needs it
 
     def exact(text: str) -> list[int]:
-        return whole.encode(text, add_special_tokens=False).ids
+        return whole(json_file).encode(text, add_special_tokens=False).ids
 
     def encode(text: str) -> list[int]:
         if any(s in text for s in special) or (len(text) >= LONG_BLANK and _LONG_BLANK.search(text)):

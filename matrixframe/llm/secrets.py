@@ -35,7 +35,7 @@ EPOCHS = 4
 RATE = 0.2
 DECAY = 1e-5
 SEED = 7
-CACHE = 800_000
+CACHE = 200_000
 
 #: What values are drawn from in masked views.
 ALPHABETS = tuple(

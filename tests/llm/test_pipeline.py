@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from matrixframe.llm import langid
+from matrixframe.llm.common import BATCH_BYTES
 from tests.llm.conftest import as_set
 from tests.llm.test_joins import brute
 from tests.llm.test_models import brute_base, check_packed
@@ -82,6 +83,30 @@ def test_run_equals_its_stages(spark, tables, results):
     assert Counter(as_set(cp.run(spark, tables).drop("sequence_id", "offset"))) == Counter(as_set(results[5].drop("sequence_id", "offset")))
 
 
+@pytest.mark.parametrize("stage", [cp.known_language, cp.distinct_documents, cp.without_secrets, cp.packed_sequences])
+def test_batches_for_python_are_cut_by_bytes(spark, docs, tables, stage):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    stage(spark, docs, tables)
+    long = spark.range(0, 400, 1, 1).select(F.concat(F.col("id").cast("string"), F.repeat(F.lit("word "), 10_000)).alias("text"))
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    got = long.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in got) == 400 and max(r["size"] for r in got) <= BATCH_BYTES + 60_000
+
+
+def test_a_lower_limit_of_the_session_stays(spark, docs, tables):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, 1 << 20)
+    cp.known_language(spark, docs, tables)
+    assert int(spark.conf.get(name)) == 1 << 20
+    spark.conf.unset(name)
+
+
 def test_no_documents(spark, docs, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
