@@ -112,6 +112,41 @@ def test_admm_squared_equals_ridge(spark, parts):
     assert np.allclose(got.coefficients, np.linalg.solve(a.T @ a + 3 * np.eye(5), a.T @ y), atol=1e-5)
 
 
+def squared_rounds(a, y, regularizer, lam, rounds, rho):
+    """ADMM of the squared loss with outputs and duals of all rows, for features of a mean square sum of 1."""
+    scale = np.sqrt((a * a).sum() / a.shape[1])
+    z, penalty = a / scale, lam / scale ** (2 if regularizer == Regularizer.L2 else 1)
+    inverse = np.linalg.inv(np.eye(a.shape[1]) + z.T @ z)
+    o, dual = np.zeros_like(y), np.zeros_like(y)
+    w, w_dual = np.zeros((a.shape[1], y.shape[1])), np.zeros((a.shape[1], y.shape[1]))
+    for _ in range(rounds):
+        w_half = losses.prox_regularizer(regularizer, w - w_dual, penalty, rho)
+        half = losses.prox_loss(Loss.SQUARED, o - dual, y, rho)
+        w = inverse @ (w_half + w_dual + z.T @ (half + dual))
+        o = z @ w
+        w_dual, dual = w_dual + w_half - w, dual + half - o
+    return w_half / scale
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+@pytest.mark.parametrize("reg", list(Regularizer))
+def test_admm_squared_takes_the_rounds_of_rows_but_reads_them_twice(spark, monkeypatch, reg, limit):
+    from matrixframe.operators import admm as module
+
+    rng = np.random.default_rng(8)
+    a, y = rng.normal(size=(60, 4)), rng.normal(size=(60, 2))
+    if limit is not None:
+        monkeypatch.setattr(module, "LOCAL_BYTES", 8 * 4 * 4 / 8)  # ZᵀZ fits, ZᵀY doesn't fit beside it
+    passes = []
+    whole = MatrixFrame.sum_local
+    monkeypatch.setattr(MatrixFrame, "sum_local", lambda self, *args: passes.append(1) or whole(self, *args))
+    got = admm(mat(spark, a, 3), mat(spark, y), loss=Loss.SQUARED, regularizer=reg, lam=2.0, max_iters=23, tol=0.0, rho=0.3)
+    assert got.rounds == 23 and len(passes) == (2 if limit is None else 3)
+    assert np.allclose(got.coefficients, squared_rounds(a, y, reg, 2.0, 23, 0.3), rtol=1e-9, atol=1e-12)
+    short = admm(mat(spark, a, 3), mat(spark, y), loss=Loss.SQUARED, regularizer=reg, lam=2.0, max_iters=2, tol=0.0, rho=0.3)
+    assert np.allclose(short.coefficients, squared_rounds(a, y, reg, 2.0, 2, 0.3), rtol=1e-9, atol=1e-12)
+
+
 @pytest.mark.parametrize("loss", [Loss.HINGE, Loss.LOGISTIC])
 def test_admm_separates(spark, loss):
     c = RNG.integers(0, 2, 80)
