@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,6 +106,8 @@ class MatrixFrame:
         self._tasks: int | None = None
         #: The frame that this one's blocks were computed from, and how, if it is such and isn't kept itself.
         self.source: tuple[MatrixFrame, Callable] | None = None
+        #: The frame that this one's rows were computed from, and the expression, if it is such and isn't kept itself.
+        self.origin: tuple[MatrixFrame, Column] | None = None
 
     # -- construction
 
@@ -223,7 +225,7 @@ class MatrixFrame:
 
     def persist(self) -> MatrixFrame:
         self.df = self.df.persist()
-        self.source = None
+        self.source = self.origin = None
         return self
 
     def unpersist(self) -> MatrixFrame:
@@ -252,13 +254,16 @@ class MatrixFrame:
     def paired(self, other: MatrixFrame) -> tuple[MatrixFrame, Callable]:
         """Rows of this frame joined with those of another by id, and a function that splits a block of them into
         both. Rows that blocks are computed from are joined before that where they are narrower, as a feature
-        map's input is; so the wide side is never shuffled."""
+        map's input is; so the wide side is never shuffled. Where expressions over the rows of one frame make both,
+        they are computed side by side from these, without a join."""
         low, steps = self, []
         while low.source is not None and low._dims and low.source[0]._dims and low.source[0].n_cols <= low.n_cols:
             low, fn = low.source
             steps.insert(0, fn)
-        right = other.df.select("row_id", F.col("features").alias("right"))
-        joined = low.df.join(right, "row_id").select("row_id", F.concat("features", "right").alias("features"))
+        joined = low._beside_by_rows(other)
+        if joined is None:
+            right = other.df.select("row_id", F.col("features").alias("right"))
+            joined = low.df.join(right, "row_id").select("row_id", F.concat("features", "right").alias("features"))
         k = low.n_cols
 
         def split(ids, x):
@@ -269,6 +274,31 @@ class MatrixFrame:
 
         return MatrixFrame(joined, self.n_rows, k + other.n_cols), split
 
+    def _origins(self) -> list[tuple[MatrixFrame, list[Column]]]:
+        """This frame and those that its rows were computed from, each with the expressions from there."""
+        found, at, steps = [(self, [])], self, []
+        while at.origin is not None:
+            at, column = at.origin
+            steps = [column, *steps]
+            found.append((at, steps))
+        return found
+
+    def _beside_by_rows(self, other: MatrixFrame) -> DataFrame | None:
+        """Rows of this frame with those of another behind them, if expressions over one frame make both."""
+        theirs = other._origins()
+        for base, left in self._origins():
+            right = next((steps for b, steps in theirs if b is base), None)
+            if right is None:
+                continue
+            df = base.df.withColumn("base", F.col("features"))
+            for column in left:
+                df = df.withColumn("features", column.cast("array<double>"))
+            df = df.select("row_id", F.col("features").alias("left"), F.col("base").alias("features"))
+            for column in right:
+                df = df.withColumn("features", column.cast("array<double>"))
+            return df.select("row_id", F.concat("left", "features").alias("features"))
+        return None
+
     def beside(self, other: MatrixFrame) -> MatrixFrame:
         """``[self | other]`` by a join on the row id."""
         if self.n_rows != other.n_rows:
@@ -285,7 +315,9 @@ class MatrixFrame:
     def map_rows(self, column, n_cols: int | None = None) -> MatrixFrame:
         """Rows through a Spark expression over ``features``."""
         dims = (self._dims[0], n_cols) if self._dims and n_cols is not None else (None, None)
-        return MatrixFrame(self.df.select("row_id", column.alias("features")), *dims)
+        out = MatrixFrame(self.df.select("row_id", column.alias("features")), *dims)
+        out.origin = (self, column)
+        return out
 
     def _partial_sums(self, fn, shape: tuple[int, int]) -> tuple[DataFrame, int, int]:
         """Every task's sum of ``fn(ids, x)`` in panels of rows, merged ``FAN`` tasks at a time until at most

@@ -138,6 +138,8 @@ def admm(
     m = wanted.n_cols
     both, split = z.paired(wanted)
     squared = loss == Loss.SQUARED
+    if not squared:  # each round reads the rows: they are joined once
+        both = both.checkpoint()
     together = squared and 8 * d * (d + m) <= 8 * LOCAL_BYTES
 
     def gram(ids, x):

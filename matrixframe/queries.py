@@ -399,11 +399,11 @@ def kmeans_planted(spark, sf_dir):
 
 
 def _columns(spark, sf_dir, *sides: tuple[int, ...]) -> list[MatrixFrame]:
-    """Columns of lineitem as matrices over the same rows, which are numbered once and written, so that joins by
-    row meet however the scans split."""
-    both = lineitem(spark, sf_dir).checkpoint()
-    n = both.n_rows
-    return [MatrixFrame(both.df.select("row_id", F.array(*[F.element_at("features", i) for i in at]).alias("features")), n, len(at)) for at in sides]
+    """Columns of lineitem as matrices over the same rows, which operators read together: no row numbers are joined,
+    so scans may split in any way."""
+    both = lineitem(spark, sf_dir)
+    both.dims()
+    return [both.map_rows(F.array(*[F.element_at("features", i) for i in at]), len(at)) for at in sides]
 
 
 @query("""WITH l AS (SELECT l_quantity / 50 AS x, l_extendedprice / 100000 AS y FROM lineitem)

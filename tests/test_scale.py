@@ -77,6 +77,57 @@ def test_targets_join_the_narrow_rows(spark, x):
     kept.unpersist()
 
 
+def test_expressions_over_one_frame_stand_side_by_side_without_a_join(spark, x):
+    a = MatrixFrame.from_numpy(spark, x, 3)
+    head = a.map_rows(F.slice("features", 1, 3), 3)
+    doubled = head.map_rows(F.transform("features", lambda v: 2 * v), 3)
+    ones = a.map_rows(F.array(F.lit(1)), 1)
+    for left, right, want in (
+        (doubled, ones, [2 * x[:, :3], np.ones((600, 1))]), (ones, doubled, [np.ones((600, 1)), 2 * x[:, :3]]), (a, head, [x, x[:, :3]]),
+        (doubled, head, [2 * x[:, :3], x[:, :3]]), (kernels.rbf_features(head, 20, 1.0), ones, [kernels.rbf_features(head, 20, 1.0).to_numpy(), np.ones((600, 1))]),
+    ):
+        both = left.beside(right)
+        assert "Join" not in exchanged_widths(both.df, spark)
+        assert np.array_equal(both.to_numpy(), np.column_stack(want))
+    other = MatrixFrame.from_numpy(spark, x, 2).map_rows(F.slice("features", 1, 1), 1)
+    assert "Join" in exchanged_widths(head.beside(other).df, spark)
+    kept = a.map_rows(F.slice("features", 1, 2), 2).persist()
+    assert kept.origin is None and np.array_equal(kept.beside(ones).to_numpy(), np.column_stack([x[:, :2], np.ones(600)]))
+    kept.unpersist()
+
+
+def joins_of_passes(monkeypatch, spark):
+    """A list that gets, for each later sum over rows, whether its plan joins."""
+    found, whole = [], MatrixFrame.sum_local
+    monkeypatch.setattr(MatrixFrame, "sum_local", lambda self, *args: found.append("Join" in exchanged_widths(self.df, spark)) or whole(self, *args))
+    return found
+
+
+@pytest.mark.parametrize("name", ["admm_squared_l1", "admm_squared_l2"])
+def test_squared_queries_join_no_rows(spark, tmp_path, monkeypatch, name):
+    from matrixframe import queries
+
+    rng = np.random.default_rng(12)
+    q, p, d = rng.integers(1, 51, 400), rng.uniform(900, 100000, 400), rng.integers(0, 11, 400) / 100
+    rows = [(float(a), float(b), float(c), 0.01) for a, b, c in zip(q, p, d, strict=True)]
+    spark.createDataFrame(rows, "l_quantity double, l_extendedprice double, l_discount double, l_tax double").repartition(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    joins = joins_of_passes(monkeypatch, spark)
+    got = queries.QUERIES[name](spark, str(tmp_path)).first()
+    z, y = np.column_stack([q / 50, d * 10]), p / 100000
+    if name == "admm_squared_l1":
+        assert got["w"] == pytest.approx((z[:, 0] @ y - 0.05 * 400) / (z[:, 0] @ z[:, 0]), abs=2e-6)
+    else:
+        assert np.allclose([got["w1"], got["w2"]], np.linalg.solve(z.T @ z + 4 * np.eye(2), z.T @ y), atol=2e-6)
+    assert joins == [False, False]
+
+
+def test_rounds_over_rows_join_them_once(spark, x, monkeypatch):
+    y = np.sign(x[:, :1])
+    joins = joins_of_passes(monkeypatch, spark)
+    found = admm.admm(MatrixFrame.from_numpy(spark, x, 2), MatrixFrame.from_numpy(spark, y, 3), True, Loss.HINGE, Regularizer.L1, lam=1.0, max_iters=3)
+    assert len(joins) == found.rounds + 2 and not any(joins)
+
+
 def test_kernel_ridge_equals_the_closed_form(spark, x):
     a = MatrixFrame.from_numpy(spark, x, 3)
     y = np.eye(3)[np.arange(600) % 3]
